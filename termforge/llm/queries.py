@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, warc
+from . import bpe, media, mixing, warc
 from .common import table
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -22,5 +26,5 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op5_warc, op6_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
