@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, warc
+from . import bpe, media, mixing, secrets, warc
 from .common import table
 
 
@@ -26,5 +26,9 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns)}
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
