@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, media, mixing, secrets, warc
+from . import bpe, classify, media, mixing, secrets, warc
 from .common import table
 
 
@@ -30,5 +30,13 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan)}
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
