@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classify, media, mixing, secrets, warc
+from . import bpe, classify, fingerprints, media, mixing, secrets, warc
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,5 +42,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
