@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classify, fingerprints, media, mixing, secrets, warc
+from . import bpe, classify, fingerprints, media, mixing, ngram_lm, secrets, warc
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -42,5 +46,5 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op4_lm_score, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
