@@ -282,3 +282,14 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokenised(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, source, n_tokens, ids and the digests of ids and of the decoded bytes."""
+    source = _shipped(docs, ranks_path, pattern)
+
+    def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
+        coder = _coder(source)
+        for some in chunks(((t or "", k, s) for k, s, t in tuples), 0):
+            for (_, k, s), ids in zip(some, coder.encode_all([t[0] for t in some])):
+                yield k, s, len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+
+    return map_rows(docs.select(F.col("doc_id").cast("long"), "source", "text"), rows, "doc_id long, source string, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

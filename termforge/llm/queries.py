@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, classify, fingerprints, media, mixing, ngram_lm, secrets, warc
+from . import bpe, classify, fingerprints, media, mixing, near_join, ngram_lm, secrets, warc
 from .common import table
 
 
@@ -46,5 +46,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op4_lm_score, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity)}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_join.near_join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op4_lm_score, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity, op10_jaccard_join)}
 ORACLE_SQL = {"op5_warc": warc.SQL}
