@@ -1,4 +1,6 @@
 """The registered queries of the core library and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from .oracle import ORACLE_SQL
+from .search import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
