@@ -15,7 +15,7 @@ from ..operators.kvlog import KeyValueLog
 from ..operators.phrase import phrase_docs
 from ..operators.query import And, Expr, Not, Or, Phrase, Term, run_query
 from ..operators.ranking import TIERS, champions, rank_tfidf, rank_vsm, tiered_search
-from ..sources.tables import event_log, read_table
+from ..sources.tables import event_log, read_table, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = AnalyzerConfig("none")
@@ -28,7 +28,7 @@ REPEATED = ["thing", "thing attion"]
 
 
 def index_of(spark: SparkSession, sf_dir: str, config: AnalyzerConfig = PLAIN) -> TextIndex:
-    return TextIndex.build(read_table(spark, sf_dir, "documents").select("doc_id", "text"), config)
+    return TextIndex.build(spread(read_table(spark, sf_dir, "documents").select("doc_id", "text")), config)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scanned table in one partition a core at least: a small file is a single task
+    otherwise. Tables of more partitions than cores are left as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def documents_from(spark: SparkSession, rows: Iterable[tuple[int, str]]) -> DataFrame:
     """doc_id, text from values in memory."""
     return spark.createDataFrame(list(rows), "doc_id long, text string")
