@@ -139,8 +139,8 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     clean = marked.where(F.size("_spans") == 0).select(*[marked[c] for c in docs.columns])
     held = stored(marked.where(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets-held")
     found = held.select("_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), F.col("_spans").alias("spans"))
-    known = verdicts(found).select(F.col("_row").alias("_of"), "live")
-    joined = held.join(known, F.col("_row") == F.col("_of"), "left").withColumn("_cut", F.when(F.size("live") > 0, _cut(F.col("text"), F.col("live"), mark)).otherwise(F.col("text")))
+    known = verdicts(found).select(F.col("_row").alias("_of"), F.col("live").alias("_live"))
+    joined = held.join(known, F.col("_row") == F.col("_of"), "left").withColumn("_cut", F.when(F.size("_live") > 0, _cut(F.col("text"), F.col("_live"), mark)).otherwise(F.col("text")))
     put = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
     return clean.unionByName(joined.select(*[put[c].cast(docs.schema[c].dataType).alias(c) if c in put else F.col(c) for c in docs.columns]))
 
