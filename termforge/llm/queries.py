@@ -51,4 +51,4 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_sources, op2_lz_fingerprint, op3_byte_bpe, op4_lm_score, op5_warc, op6_media_columns, op7_secret_scan, op8_quality, op9_toxicity, op10_jaccard_join)}
-ORACLE_SQL = {"op5_warc": warc.SQL}
+ORACLE_SQL = {"op5_warc": warc.SQL, "op7_secret_scan": secrets.SQL}

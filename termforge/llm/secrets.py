@@ -145,3 +145,35 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     return clean.unionByName(joined.select(*[put[c].cast(docs.schema[c].dataType).alias(c) if c in put else F.col(c) for c in docs.columns]))
 
 
+
+
+def _sql() -> str:
+    """The same scan for DuckDB: spans from split and extracted matches, kind by kind."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = " UNION ALL ".join(
+        f"SELECT doc_id, owner, {order} AS ord, '{kind}' AS kind, {least} AS least, regexp_split_to_array(x, {quoted(pattern)}) AS g, "
+        f"regexp_extract_all(x, {quoted(pattern)}, 0) AS w, regexp_extract_all(x, {quoted(pattern)}, {group}) AS p FROM t WHERE regexp_matches(x, {quoted(pattern)})"
+        for order, (kind, pattern, least, group, _) in enumerate(KINDS)
+    )
+    count = ", ".join(f"coalesce(CAST(count(*) FILTER (WHERE kind = '{kind}') AS BIGINT), 0) AS n_{kind}" for kind in BASE)
+    base = ", ".join(f"'{kind}'" for kind in BASE)
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS x FROM documents),
+m AS ({kinds}),
+placed AS (SELECT *, unnest(range(len(w))) AS i FROM m),
+s AS (SELECT doc_id, owner, ord, kind, w[i + 1] AS whole, p[i + 1] AS value,
+        CAST(list_sum(list_transform(g[1:i + 1], lambda y: length(y))) + coalesce(list_sum(list_transform(w[1:i], lambda y: length(y))), 0) AS BIGINT) AS b
+      FROM placed WHERE length(p[i + 1]) >= least),
+o AS (SELECT value, count(DISTINCT owner) AS owners FROM s GROUP BY value),
+d AS (SELECT doc_id, {count},
+        coalesce(string_agg(kind || ':' || b || ':' || (b + length(whole)), ',' ORDER BY b, ord) FILTER (WHERE kind IN ({base})), '') AS told,
+        string_agg(kind || ':' || b || ':' || (b + length(whole)), ',' ORDER BY b, ord) AS spans,
+        count(*) FILTER (WHERE owners < {COPIED_OWNERS}) AS n_live, count(*) FILTER (WHERE owners >= {COPIED_OWNERS}) AS n_copied, max(owners) AS most_owners
+      FROM s JOIN o USING (value) GROUP BY doc_id)
+SELECT doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind in BASE)}, sha256(coalesce(told, '')) AS base_sha256, coalesce(spans, '') AS spans,
+  coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied, coalesce(most_owners, 0) AS most_owners
+FROM documents LEFT JOIN d USING (doc_id)
+"""
+
+
+SQL = _sql()
