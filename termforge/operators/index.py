@@ -36,7 +36,7 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """term, doc_id, tf, positions: sorted distinct positions of each term and document."""
-        lists = self.occurrences.groupBy("term", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+        lists = self.occurrences.groupBy("term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
         return lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
     def frequencies(self, terms: list[str] | None = None) -> DataFrame:
@@ -64,7 +64,7 @@ class TextIndex:
         """doc_id, positions of a word; empty for a word that the analysis drops."""
         term = self.lookup_term(word)
         found = self.occurrences.where(F.lit(False) if term is None else self.matches(term))
-        return found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+        return found.groupBy("doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
 
     def lookup(self, word: str) -> DataFrame:
         """The ids of the documents that hold a word."""
@@ -82,7 +82,7 @@ class TextIndex:
         term is spread over its blocks, and the lists are grouped where they arrive; each
         file is sorted by term, so a lookup reads one row group of it."""
         blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).repartition("term", "block_id")
-        lists = blocks.groupBy("term", "block_id", "doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+        lists = blocks.groupBy("term", "block_id", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
         rows = lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "block_id")
         rows.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
         self.universe.write.mode(mode).parquet(f"{path}/documents")
