@@ -90,7 +90,8 @@ def verdicts(found: DataFrame) -> DataFrame:
     """_row, live, copied, holders: for each row with candidates, the live spans, the number
     of copied ones, and the most owners that any of its values has."""
     each = found.where(F.size("spans") > 0).select("_row", F.explode("spans").alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
-    known = each.join(ownership(found), "hash")
+    # A table of its own, so that the join meets plain shuffles, of which Spark splits a hot value's.
+    known = each.join(stored(ownership(found), "secrets-owners"), "hash")
     live = F.array_sort(F.collect_list(F.when(~F.col("copied"), F.struct("span.begin", "span.end"))))
     return known.groupBy("_row").agg(live.alias("live"), F.sum(F.col("copied").cast("long")).alias("n_copied"), F.max("owners").alias("most_owners"))
 

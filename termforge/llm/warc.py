@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, utf8
+from .common import scratch, stored, utf8
 
 WARC_DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -50,7 +50,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         .write.option("compression", "zstd").parquet(f"{path}/payloads")
     )
     slim = raw.select("page_id", "url", "sha256", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"))
-    keepers = slim.where(F.col("size") >= min_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("keeper"))
+    # A table of its own, so that the join meets plain shuffles, of which Spark splits a hot payload's.
+    keepers = stored(slim.where(F.col("size") >= min_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("keeper")), "warc-keepers")
     joined = slim.join(keepers, "sha256", "left")
     revisit = F.col("keeper.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))

@@ -522,3 +522,18 @@ def test_pipeline_runs_and_keeps_columns(spark):
     assert collections.Counter(r.doc_id for r in last) == texts and set(texts) <= set(before)
     assert all(len(r.ids) == 4 * r.n_tokens for r in last)
     assert os.path.exists(corpus_pipeline.__file__)
+
+
+def test_queries_match_their_sql(spark):
+    import duckdb
+
+    from termforge.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.sql(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name, sql in queries.ORACLE_SQL.items():
+        told = con.sql(sql)
+        columns = sorted(told.columns)
+        same([tuple(r) for r in queries.QUERIES[name](spark, sf).select(*columns).collect()], told.select(*columns).fetchall())
