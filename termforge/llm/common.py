@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many bytes of text are handled at once by the vectorised operators.
 CHUNK_BYTES = 4 << 20
+#: Rows of an Arrow batch that are turned into Python values at once.
+ROWS_AT_ONCE = 512
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +38,18 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     executors, and gives the planner the true size."""
     path = scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove stored tables that nothing reads any more: what was made from them has been
+    stored in its turn, so a lost executor can't ask for them again."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.scratch)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,7 +66,6 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
-        from pyspark.sql.types import _parse_datatype_string  # noqa: F401
 
         fields = None
         out: list[tuple] = []
@@ -64,7 +76,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, fields)], schema=fields)
 
         fields = to_arrow_schema(shape)
-        tuples = (t for b in batches for t in zip(*(c.to_pylist() for c in b.columns)))
+        tuples = (t for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE) for t in zip(*(c.to_pylist() for c in b.slice(i, ROWS_AT_ONCE).columns)))
         for row in rows(tuples):
             out.append(row)
             size += sum(len(v) for v in row if isinstance(v, (bytes, str))) + 64

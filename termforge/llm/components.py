@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 MOST_ROUNDS = 60
 
@@ -34,7 +34,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     mark = None
     for _ in range(MOST_ROUNDS):
-        now = stored(_star(_star(now, True), False), "edges")
+        before, now = now, stored(_star(_star(now, True), False), "edges")
+        discard(before)
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if said == mark:
             return now

@@ -15,8 +15,8 @@ too; so linked sets share a signature, whatever they hold.
 Equal sets are one class, told apart by a 128-bit hash, and never compared. Classes that
 share a signature are candidates: first each with the least class of its signature;
 those that verify are joined into components. Then, of signatures whose classes are
-still in different components, all pairs across components that the sizes and a sketch
-(64 counts of hashes, whose differences can't exceed those of the sets) leave possible.
+still in different components, all pairs across components that the sizes and sketches
+(counts of hashes, whose differences can't exceed those of the sets) leave possible.
 So every link either is found or lies inside a component already; groups of thousands
 of near copies cost one comparison each, and groups that share only a passage fall to
 the sketch. Groups above BLOCK classes are compared block by block. Sets are compared
@@ -37,17 +37,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, stored, utf8
+from .common import chunks, discard, map_rows, stored, utf8
 from .components import components
 from .ngram_lm import LEAST_PARTS, PART_BYTES, mix, part_of, word_hashes
 from .tokens import Tokens
 
 N = 5
-SKETCH = 64
+#: Counts in a class's two sketches: one for pairs within groups, one for the pairs that are left.
+SKETCH, FINE_SKETCH = 64, 512
 #: Classes compared at once with each other; larger groups are compared block by block.
 BLOCK = 4096
 #: Signatures that a task holds before it deals them out.
-HELD_SIGNATURES = 3_000_000
+HELD_SIGNATURES = 1_500_000
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; beyond, a shuffled join does.
 MOST_IDS = 1_000_000
 _POWERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -127,15 +128,16 @@ def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, upper, lower (the class), sketch: a row a document."""
+    """doc_id, n_shingles, upper, lower (the class), sketch, fine: a row a document."""
 
     def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
         for some in chunks(tuples, 1):
             for (k, _), s in zip(some, shingle_sets([t for _, t in some])):
-                sketch = np.minimum(255, np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=SKETCH)).astype(np.uint8)
-                yield k, len(s), *class_hash(s), sketch.tobytes()
+                fine = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=FINE_SKETCH)
+                coarse = fine.reshape(SKETCH, -1).sum(1)
+                yield k, len(s), *class_hash(s), *(np.minimum(255, x).astype(np.uint8).tobytes() for x in (coarse, fine))
 
-    return map_rows(docs.select(F.col("doc_id").cast("long"), utf8()), rows, "doc_id long, n_shingles long, upper long, lower long, sketch binary")
+    return map_rows(docs.select(F.col("doc_id").cast("long"), utf8()), rows, "doc_id long, n_shingles long, upper long, lower long, sketch binary, fine binary")
 
 
 def signature_groups(docs: DataFrame, n_parts: int) -> DataFrame:
@@ -207,6 +209,21 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return map_rows(groups.select("signatures", "nodes"), rows, "a long, b long").distinct()
 
 
+def within_sketch(met: DataFrame) -> DataFrame:
+    """a, b (classes) of the pairs whose sketches leave a link possible."""
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
+            a, b, na, nb = (np.array(batch.column(c)) for c in ("a_upper", "b_upper", "a_n", "b_n"))
+            ok = 9 * np.abs(x.astype(np.int16) - y).sum(1) <= na + nb
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
+
+    return met.select("a_upper", "b_upper", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long").distinct()
+
+
 def members(groups: DataFrame) -> DataFrame:
     """signature, node: a row a member of each group."""
 
@@ -223,6 +240,8 @@ def members(groups: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the pairs (of classes) that link, from the classes' whole sets."""
+    side = lambda x: classes.select(F.col("upper").alias(x), F.col("upper").alias(f"{x}_upper"), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_sketch"))
+    pairs = stored(within_sketch(pairs.join(side("a"), "a").join(side("b"), "b")), "near-close")
     wanted = pairs.select(F.col("a").alias("upper")).unionByName(pairs.select(F.col("b").alias("upper"))).distinct()
     ids = stored(classes.join(wanted, "upper", "left_semi").select("rep", "upper"), "near-ids")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
@@ -245,7 +264,9 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             if 100 * common >= 80 * (len(x) + len(y) - common):
                 yield a, b
 
-    return map_rows(both.select("a", "b", "x", "y"), compare, "a long, b long")
+    linked = stored(map_rows(both.select("a", "b", "x", "y"), compare, "a long, b long"), "near-linked")
+    discard(pairs, ids, sets)
+    return linked
 
 
 def cross_pairs(rows: DataFrame) -> DataFrame:
@@ -299,15 +320,17 @@ def near_join(docs: DataFrame) -> DataFrame:
     n_parts = max(LEAST_PARTS, -(-size // PART_BYTES))
     sets = stored(sets_of(docs), "near-documents")
     classes = stored(
-        sets.where(F.col("n_shingles") > 0).groupBy("upper", "lower").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch")).withColumn("node", F.shiftrightunsigned("upper", 24)), "near-classes"
+        sets.where(F.col("n_shingles") > 0).groupBy("upper", "lower").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n"), F.max("sketch").alias("sketch"), F.max("fine").alias("fine")).withColumn("node", F.shiftrightunsigned("upper", 24)), "near-classes"
     )
     groups = stored(signature_groups(docs, n_parts), "near-groups")
 
-    known = classes.select("node", "upper", "n")
-    side = lambda x: known.select(F.col("node").alias(x), F.col("upper").alias(f"{x}_upper"), F.col("n").alias(f"{x}_n"))
-    stars = star_pairs(groups).join(side("a"), "a").join(side("b"), "b").where(4 * F.greatest("a_n", "b_n") <= 5 * F.least("a_n", "b_n"))
-    stars = stored(stars.select(F.least("a_upper", "b_upper").alias("a"), F.greatest("a_upper", "b_upper").alias("b")).distinct(), "near-stars")
-    links = components(verified(stars, classes, docs))
+    known = classes.select("node", "upper", "n", "sketch")
+    side = lambda x: known.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in known.columns[1:]])
+    met = star_pairs(groups).join(side("a"), "a").join(side("b"), "b").where(4 * F.greatest("a_n", "b_n") <= 5 * F.least("a_n", "b_n"))
+    stars = stored(within_sketch(met), "near-stars")
+    linked = verified(stars, classes, docs)
+    links = components(linked)
+    discard(stars, linked)
 
     labels = classes.join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("node", "upper", "n", "sketch", F.coalesce("label", "upper").alias("label"))
     labels = stored(labels, "near-labels")
@@ -318,8 +341,10 @@ def near_join(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("upper"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("split", (F.col("block") != F.col("with")).cast("int")).withColumn("signature", F.when(F.col("blocks") == 1, F.col("signature")).otherwise(F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with"))))
     possible = stored(cross_pairs(rows.repartition("signature").sortWithinPartitions("signature", "n")), "near-possible")
+    discard(groups, labels, all_members)
     more = verified(possible, classes, docs)
-    links = components(links.unionByName(more))
+    first, links = links, components(links.unionByName(more))
+    discard(possible, more, first)
 
     joined = classes.select("upper", "rep").join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("upper", "rep", F.coalesce("label", "upper").alias("label"))
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))
