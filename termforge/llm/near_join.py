@@ -43,10 +43,13 @@ from .ngram_lm import LEAST_PARTS, PART_BYTES, mix, part_of, word_hashes
 from .tokens import Tokens
 
 N = 5
-#: Counts in a class's two sketches: one for pairs within groups, one for the pairs that are left.
-SKETCH, FINE_SKETCH = 64, 512
+#: A class's two sketches: for pairs within groups the parities of PARITIES counts of hashes and SKETCH
+#: counts, for the pairs that are left FINE_SKETCH counts.
+PARITIES, SKETCH, FINE_SKETCH = 1024, 64, 512
 #: Classes compared at once with each other; larger groups are compared block by block.
 BLOCK = 4096
+#: Pairs that a task holds to tell repeats, and rows of groups that are dealt together for that.
+HELD_PAIRS, TOGETHER = 2_000_000, 200_000
 #: Signatures that a task holds before it deals them out.
 HELD_SIGNATURES = 1_500_000
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; beyond, a shuffled join does.
@@ -135,7 +138,8 @@ def sets_of(docs: DataFrame) -> DataFrame:
             for (k, _), s in zip(some, shingle_sets([t for _, t in some])):
                 fine = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=FINE_SKETCH)
                 coarse = fine.reshape(SKETCH, -1).sum(1)
-                yield k, len(s), *class_hash(s), *(np.minimum(255, x).astype(np.uint8).tobytes() for x in (coarse, fine))
+                odd = np.packbits((np.bincount((s >> np.uint64(54)).astype(np.int64), minlength=PARITIES) & 1).astype(bool))
+                yield k, len(s), *class_hash(s), odd.tobytes() + np.minimum(255, coarse).astype(np.uint8).tobytes(), np.minimum(255, fine).astype(np.uint8).tobytes()
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), utf8()), rows, "doc_id long, n_shingles long, upper long, lower long, sketch binary, fine binary")
 
@@ -209,6 +213,14 @@ def star_pairs(groups: DataFrame) -> DataFrame:
     return map_rows(groups.select("signatures", "nodes"), rows, "a long, b long").distinct()
 
 
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many elements sets of these sketches (a row each) differ at least: each
+    element changes one count by one, and one parity."""
+    odd = PARITIES // 8 if x.shape[1] == PARITIES // 8 + SKETCH else 0
+    counts = np.abs(x[:, odd:].astype(np.int16) - y[:, odd:]).sum(1)
+    return np.maximum(counts, np.bitwise_count(x[:, :odd] ^ y[:, :odd]).sum(1)) if odd else counts
+
+
 def within_sketch(met: DataFrame) -> DataFrame:
     """a, b (classes) of the pairs whose sketches leave a link possible."""
 
@@ -218,7 +230,7 @@ def within_sketch(met: DataFrame) -> DataFrame:
                 continue
             x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("a_sketch", "b_sketch"))
             a, b, na, nb = (np.array(batch.column(c)) for c in ("a_upper", "b_upper", "a_n", "b_n"))
-            ok = 9 * np.abs(x.astype(np.int16) - y).sum(1) <= na + nb
+            ok = 9 * apart(x, y).astype(np.int64) <= na + nb
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[ok]), pa.array(np.maximum(a, b)[ok])], names=["a", "b"])
 
     return met.select("a_upper", "b_upper", "a_n", "b_n", "a_sketch", "b_sketch").mapInArrow(run, "a long, b long").distinct()
@@ -276,18 +288,41 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
     row's block matters only where lo and hi differ (a pair of blocks of a large group)."""
 
     def run(batches):
-        rest = None
+        rest, held = None, Held()
         for batch in batches:
             now = [np.array(c) if pa.types.is_integer(c.type) else c for c in batch.columns]
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, SKETCH)
+            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PARITIES // 8 + SKETCH)
             cols = [*now[:-1], sketch]
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
             last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
             rest = [c[last:] for c in cols]
-            yield from pairs([c[:last] for c in cols])
+            yield from held.add(pairs([c[:last] for c in cols]))
         if rest is not None:
-            yield from pairs(rest)
+            yield from held.add(pairs(rest))
+        yield from held.out()
+
+    class Held:
+        """A task's distinct pairs, given out at the end, or before they outgrow memory."""
+
+        def __init__(self):
+            self.parts, self.size = [], 0
+
+        def add(self, found):
+            self.parts += found
+            self.size += sum(x.shape[1] for x in found)
+            if self.size > HELD_PAIRS:
+                self.parts = [np.unique(np.concatenate(self.parts, axis=1), axis=1)]
+                self.size = self.parts[0].shape[1]
+                if self.size > HELD_PAIRS // 2:
+                    yield from self.out()
+
+        def out(self):
+            if self.parts:
+                got = np.unique(np.concatenate(self.parts, axis=1), axis=1)
+                for i in range(0, got.shape[1], 100_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(got[0, i : i + 100_000]), pa.array(got[1, i : i + 100_000])], names=["a", "b"])
+            self.parts, self.size = [], 0
 
     def pairs(cols):
         key, upper, n, label, block, split, sketch = cols
@@ -300,16 +335,13 @@ def cross_pairs(rows: DataFrame) -> DataFrame:
             right = left + d
             near = (label[left] != label[right]) & (4 * np.maximum(n[left], n[right]) <= 5 * np.minimum(n[left], n[right])) & ((split[left] == 0) | (block[left] != block[right]))
             i, j = left[near], right[near]
-            for c in range(0, len(i), 100_000):
-                p, q = i[c : c + 100_000], j[c : c + 100_000]
-                apart = np.abs(sketch[p].astype(np.int16) - sketch[q]).sum(1)
-                ok = 9 * apart <= n[p] + n[q]
+            for c in range(0, len(i), 50_000):
+                p, q = i[c : c + 50_000], j[c : c + 50_000]
+                ok = 9 * apart(sketch[p], sketch[q]).astype(np.int64) <= n[p] + n[q]
                 if ok.any():
                     found.append(np.stack([np.minimum(upper[p[ok]], upper[q[ok]]), np.maximum(upper[p[ok]], upper[q[ok]])]))
             d += 1
-        if found:
-            got = np.unique(np.concatenate(found, axis=1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], names=["a", "b"])
+        return [np.unique(np.concatenate(found, axis=1), axis=1)] if found else []
 
     return rows.select("signature", "upper", "n", "label", "block", "split", "sketch").mapInArrow(run, "a long, b long").distinct()
 
@@ -336,11 +368,16 @@ def near_join(docs: DataFrame) -> DataFrame:
     labels = stored(labels, "near-labels")
     all_members = stored(members(groups).join(labels.select("node", "label"), "node"), "near-members")
     open_groups = all_members.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where(F.col("x") != F.col("y"))
+    # Groups of the same outermost components mostly repeat the same pairs, so they are dealt
+    # to one task, which tells the repeats; if they are many, to several.
+    weight = open_groups.groupBy("x", "y").agg((F.sum("size") / TOGETHER).cast("long").alias("shares"))
+    share = F.xxhash64("x", "y", F.pmod(F.xxhash64("signature"), F.col("shares") + 1))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    rows = all_members.select("signature", "node").join(open_groups.select("signature", blocks.alias("blocks")), "signature").join(labels, "node")
+    dealt = open_groups.join(weight, ["x", "y"]).select("signature", blocks.alias("blocks"), share.alias("share"))
+    rows = all_members.select("signature", "node").join(dealt, "signature").join(labels, "node")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("upper"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumn("split", (F.col("block") != F.col("with")).cast("int")).withColumn("signature", F.when(F.col("blocks") == 1, F.col("signature")).otherwise(F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with"))))
-    possible = stored(cross_pairs(rows.repartition("signature").sortWithinPartitions("signature", "n")), "near-possible")
+    possible = stored(cross_pairs(rows.repartition(F.when(F.col("blocks") == 1, F.col("share")).otherwise(F.col("signature"))).sortWithinPartitions("signature", "n")), "near-possible")
     discard(groups, labels, all_members)
     more = verified(possible, classes, docs)
     first, links = links, components(links.unionByName(more))
