@@ -31,7 +31,7 @@ from .common import chunks, map_rows, stored, utf8
 from .tokens import Tokens
 
 MODULUS, HELD_REMAINDER = 7, 2
-BITS_PER_MEMBER, PROBES = 10, 5
+BITS_PER_MEMBER, PROBES = 12, 5
 MOST_FILTER = 96 << 20
 MOST_WORDS = 8_000_000
 #: Weight of the word probabilities in a pair's smoothing, in counts.
@@ -83,11 +83,14 @@ def level_count(level: np.ndarray) -> np.ndarray:
     return np.where(level > 0, 1.5 * 2.0 ** (level - 1) - 0.5, 0.0)
 
 
-def _places(hashes: np.ndarray, level: int | np.ndarray, size: np.ndarray | int) -> Iterator[np.ndarray]:
+def _member(hashes: np.ndarray, level: np.ndarray | int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """The 64-bit word of a part that holds a member, and its PROBES bits there: a probe of
+    all of them reads memory once."""
     h = mix(hashes + np.asarray(level, np.uint64) * np.uint64(0xA0761D6478BD642F))
-    step = (h >> np.uint64(32)) | np.uint64(1)
+    mask = np.zeros(len(h), np.uint64)
     for i in range(PROBES):
-        yield (h + np.uint64(i) * step) % np.asarray(size, np.uint64)
+        mask |= np.uint64(1) << ((h >> np.uint64(6 * i)) & np.uint64(63))
+    return ((h >> np.uint64(32)) * np.asarray(words, np.uint64)) >> np.uint64(32), mask
 
 
 def build_part(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[bytes, int]:
@@ -97,13 +100,16 @@ def build_part(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[
     members = lambda f: int(np.maximum(0, level - f + 1).sum())
     while members(floor) * BITS_PER_MEMBER > most_bits and floor < MOST_LEVEL:
         floor += 1
-    size = max(64, -(-members(floor) * BITS_PER_MEMBER // 64) * 64)
-    bits = np.zeros(size, bool)
+    words = max(1, -(-members(floor) * BITS_PER_MEMBER // 64))
+    bits = np.zeros(words, np.uint64)
     for j in range(floor, int(level.max(initial=0)) + 1):
-        some = hashes[level >= j]
-        for at in _places(some, j, size):
-            bits[at] = True
-    return np.packbits(bits, bitorder="little").tobytes(), floor
+        at, mask = _member(hashes[level >= j], j, words)
+        order = np.argsort(at)
+        at, mask = at[order], mask[order]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]])) if len(at) else np.zeros(0, np.int64)
+        if len(first):
+            bits[at[first]] |= np.bitwise_or.reduceat(mask, first)
+    return bits.astype("<u8").tobytes(), floor
 
 
 class CountFilter:
@@ -111,38 +117,25 @@ class CountFilter:
 
     def __init__(self, parts: list[tuple[int, bytes, int]], n_parts: int):
         self.n_parts = n_parts
-        size, floor = np.full(n_parts, 64, np.int64), np.ones(n_parts, np.int64)
-        start = np.zeros(n_parts, np.int64)
-        blobs, at = [b"\0" * 8], 64
+        self.size, self.floor, self.start = np.ones(n_parts, np.uint64), np.ones(n_parts, np.int64), np.zeros(n_parts, np.int64)
+        blobs, at = [b"\0" * 8], 1  # parts without n-grams share an empty word
         for part, bits, low in sorted(parts):
-            size[part], floor[part], start[part] = len(bits) * 8, low, at
+            self.size[part], self.floor[part], self.start[part] = len(bits) // 8, low, at
             blobs.append(bits)
-            at += len(bits) * 8
-        self.size, self.floor, self.start = size, floor, start
-        self.bits = np.frombuffer(b"".join(blobs), np.uint8)
+            at += len(bits) // 8
+        self.bits = np.frombuffer(b"".join(blobs), "<u8")
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """Each n-gram's level, 0 if it isn't stored."""
+        out, rows = np.zeros(len(hashes), np.int64), np.arange(len(hashes))
         part = part_of(hashes, self.n_parts)
-        out = np.zeros(len(hashes), np.int64)
-        rows, j = np.arange(len(hashes)), self.floor[part]
+        size, start, j = self.size[part], self.start[part], self.floor[part]
         while len(rows):
-            some, of = hashes[rows], part[rows]
-            alive = np.ones(len(rows), bool)
-            here = np.arange(len(rows))
-            for i in range(PROBES):
-                h = mix(some[here] + j[here].astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
-                step = (h >> np.uint64(32)) | np.uint64(1)
-                at = ((h + np.uint64(i) * step) % self.size[of[here]].astype(np.uint64)).astype(np.int64) + self.start[of[here]]
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1
-                alive[here[hit == 0]] = False
-                here = here[hit == 1]
-                if not len(here):
-                    break
-            rows, j = rows[alive], j[alive]
-            out[rows] = j
-            below = j < MOST_LEVEL
-            rows, j = rows[below], j[below] + 1
+            at, mask = _member(hashes, j, size)
+            hit = (self.bits[at.astype(np.int64) + start] & mask) == mask
+            out[rows[hit]] = j[hit]
+            hit &= j < MOST_LEVEL
+            rows, hashes, size, start, j = rows[hit], hashes[hit], size[hit], start[hit], j[hit] + 1
         return out
 
 
