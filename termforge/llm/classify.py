@@ -9,7 +9,7 @@ the driver and sent to the workers as flat arrays.
 Null or empty text has the features of an empty text and is scored like any other.
 Null labels and labels of unknown documents are ignored; of several labels of one id
 the largest counts. A null id is not held out and never learned from. Without labels
-every score is the constant 0.5. Repeated rows give repeated scores.
+every quality score is the constant 0.5, and every toxicity score 0. Repeated rows give repeated scores.
 """
 
 from __future__ import annotations
@@ -39,10 +39,11 @@ def held_out():
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, y, part (a hash), text of at most `rows` labelled rows that aren't held out."""
-    part = F.xxhash64(F.lit(SEED), F.col("doc_id"))
+    """doc_id, y, part, text of at most `rows` labelled rows that aren't held out. part is a
+    second hash, so that splits by it are even however few of the rows the first one picks."""
+    pick, part = (F.xxhash64(F.lit(seed), F.col("doc_id")) for seed in (SEED, SEED + 1))
     told = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("double").alias("y")).where(F.col("doc_id").isNotNull() & F.col("y").isNotNull() & ~held_out())
-    few = told.groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("part", part).orderBy("part").limit(rows)
+    few = told.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(pick, "doc_id").limit(rows).withColumn("part", part)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(few), "doc_id")
 
 
@@ -272,6 +273,8 @@ def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityFeatures
     chosen = sample(docs, labels, "toxic")
     features = ToxicityFeatures(learn_lexicon(chosen))
     x, y, part = sample_features(chosen.where(F.col("part") >= 0), features)
+    if not len(y):
+        return features, lambda rows: np.zeros(len(rows))
     last = part % 3 == 0
     forest = gbt.fit(x[~last], y[~last])
     if not last.any():

@@ -373,7 +373,15 @@ def test_held_out_labels_change_nothing(spark, labelled):
 def test_without_labels_scores_are_constant(spark, odd):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in classify.quality(frame(spark, odd), none).collect()} == {0.5}
-    assert {r.score for r in classify.toxicity(frame(spark, odd), none).collect()} == {0.5}
+    assert {r.score for r in classify.toxicity(frame(spark, odd), none).collect()} == {0.0}
+
+
+def test_a_sample_smaller_than_the_labels_still_splits_evenly(spark, labelled):
+    docs, labels = labelled
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    rows = classify.sample(frame(spark, docs), told, "toxic", 60).select("doc_id", "part").distinct().collect()
+    assert len(rows) == 60
+    assert 15 < sum(r.part < 0 for r in rows) < 45
 
 
 def test_toxic_rows_go_and_others_pass_whole(spark, labelled):
