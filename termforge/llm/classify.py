@@ -166,6 +166,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 #: A learned stem is in so many toxic documents at least, and so much likelier there.
 LEAST_DOCS, LEAST_ODDS, MOST_STEMS = 3, 4.0, 20_000
+#: Words and stems that a task holds while it counts, before it starts anew or gives them out.
+HELD_WORDS, HELD_STEMS = 50_000, 300_000
 
 
 def _bare(word: bytes) -> str:
@@ -192,11 +194,14 @@ def learn_lexicon(chosen: DataFrame) -> dict[str, float]:
                 stems: set[str] = set()
                 for w in set(text.lower().split()):
                     if w not in memo:
-                        if len(memo) > 500_000:
+                        if len(memo) >= HELD_WORDS:
                             memo.clear()
                         memo[w] = [s for s in _stems(_bare(w)) if wanted is None or s in wanted]
                     stems.update(memo[w])
                 seen.update(stems)
+                if len(seen) > HELD_STEMS:
+                    yield from seen.items()
+                    seen.clear()
             yield "", docs
             yield from seen.items()
 
