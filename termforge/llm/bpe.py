@@ -33,8 +33,8 @@ from .common import chunks, map_rows
 
 #: The rank map is sent to every worker; files beyond this are refused.
 MOST_RANKS = 1_000_000
-#: A worker's memo is emptied beyond so many words; longer words are folded by a heap.
-MEMO_WORDS = 600_000
+#: A task's memo is emptied beyond so many words; longer words are folded by a heap.
+MEMO_WORDS = 200_000
 LONG_WORD = 48
 #: White space as Unicode's White_Space property has it, which differs from re's \s.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -219,6 +219,11 @@ class Coder:
         spaced = self.spaced.__getitem__
         return [b"".join(map(get, head)) + (b"".join(map(spaced, c[1:])) if p else b"") for c, head, p in zip(cut, heads, plain)]
 
+    def forget(self) -> None:
+        """Empty the memo: a worker process outlives its tasks, and serves other stages."""
+        self.words.clear()
+        self.spaced.clear()
+
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
@@ -251,6 +256,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
         coder = _coder(source)
         for some in chunks(((k, t or "") for k, t in tuples), 1):
             yield from zip((k for k, _ in some), coder.encode_all([t for _, t in some]))
+        coder.forget()
 
     kind = docs.schema[key].dataType.simpleString()
     return map_rows(docs.select(key, text), rows, f"{key} {kind}, ids binary")
@@ -278,6 +284,7 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for some in chunks(((k, t or "") for k, t in tuples), 1):
             for (k, _), ids in zip(some, coder.encode_all([t for _, t in some])):
                 yield k, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+        coder.forget()
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "text"), rows, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
@@ -291,5 +298,6 @@ def tokenised(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
         for some in chunks(((t or "", k, s) for k, s, t in tuples), 0):
             for (_, k, s), ids in zip(some, coder.encode_all([t[0] for t in some])):
                 yield k, s, len(ids) // 4, ids, hashlib.sha256(ids).hexdigest(), hashlib.sha256(coder.decode(ids)).hexdigest()
+        coder.forget()
 
     return map_rows(docs.select(F.col("doc_id").cast("long"), "source", "text"), rows, "doc_id long, source string, n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string")

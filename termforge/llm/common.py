@@ -85,6 +85,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
                 out, size = [], 0
         if out:
             yield pack()
+        pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import _parse_datatype_string
 
