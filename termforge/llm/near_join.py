@@ -51,7 +51,7 @@ BLOCK = 4096
 #: Pairs that a task holds to tell repeats, and rows of groups that are dealt together for that.
 HELD_PAIRS, TOGETHER = 2_000_000, 200_000
 #: Signatures that a task holds before it deals them out.
-HELD_SIGNATURES = 1_500_000
+HELD_SIGNATURES = 500_000
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; beyond, a shuffled join does.
 MOST_IDS = 1_000_000
 _POWERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
