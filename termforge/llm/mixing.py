@@ -33,15 +33,20 @@ MAX_REPEATS = 3
 SEED = 17
 #: Rows into which each source's row is copied, so that a hot source's documents meet it in many tasks.
 SALTS = 64
+#: Whole copies are counted in integers, of which this is one copy.
+COPY_BITS = 30
+COPY = 1 << COPY_BITS
+#: Classes of like size in each doubling, when whole copies are decided.
+LENGTHS = 8
 
 
 def words(text: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size; texts are read here, once."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"))
+def sizes(docs: DataFrame, *keep: str) -> DataFrame:
+    """doc_id, source, size and the columns of `keep`; texts are read here, once."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words().alias("size"), *keep)
 
 
 def targets(sized: DataFrame, max_repeats: int = MAX_REPEATS) -> DataFrame:
@@ -96,12 +101,17 @@ def _edge(words_before: Column, blocks: Column, total: Column) -> Column:
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED) -> DataFrame:
     """doc_id, size, source_size, target, taken, source for every row of docs."""
-    sized = stored(sizes(docs), "mix-sizes")
+    return _mixed(docs, block_words, max_repeats, seed).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+def _mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_REPEATS, seed: int = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of mix(), each row's shard, and the columns of `keep`."""
+    sized = stored(sizes(docs, *keep), "mix-sizes")
     per = stored(targets(sized, max_repeats), "mix-targets")
     salted = per.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     mixed = F.xxhash64(F.lit(seed), F.col("doc_id"))
     with_source = sized.withColumn("_salt", F.pmod(F.shiftright(mixed, 40), F.lit(SALTS)).cast("int")).alias("d").join(salted.alias("s"), F.col("d._salt").eqNullSafe(F.col("s._salt")) & F.col("d.source").eqNullSafe(F.col("s.source")))
-    dealt = with_source.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", F.pmod(mixed, F.ceil(F.sqrt(F.col("s.docs").cast("double"))).cast("long")).alias("shard"))
+    dealt = with_source.select("d.doc_id", "d.source", "d.size", "s.source_size", "s.target", F.pmod(mixed, F.ceil(F.sqrt(F.col("s.docs").cast("double"))).cast("long")).alias("shard"), *[f"d.{c}" for c in keep])
 
     # Blocks: a shard of w words has round(w / block_words) of them, 1 at least, each of w / blocks words.
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
@@ -122,10 +132,10 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = MAX_
     plan = quotas.select(
         F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "blocks", F.when(F.col("blocks") > 0, F.floor(F.col("seats") / F.col("blocks")).cast("long")).otherwise(F.lit(0).cast("long")).alias("times"), cut.alias("cut")
     )
-    along = W.partitionBy("source", "shard").orderBy(mixed, "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    along = W.partitionBy("source", "shard").orderBy(mixed, "doc_id", "size", *keep).rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.withColumn("begin", F.coalesce(F.sum("size").over(along), F.lit(0).cast("long")))
     joined = placed.join(plan, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    return joined.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, _taken(seed)).otherwise(F.lit(0).cast("long")).alias("taken"), "source")
+    return joined.select("doc_id", "size", "source_size", "target", F.when(F.col("size") > 0, _taken(seed)).otherwise(F.lit(0).cast("long")).alias("taken"), "source", "shard", *keep)
 
 
 def _block_hash(seed: int, block: Column) -> Column:
@@ -146,13 +156,48 @@ def _taken(seed: int) -> Column:
     return F.col("times") * F.col("size") + extra
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """Documents as the mix takes them, with the columns of docs: a row is repeated for
-    each whole time that the mix takes it, and once more if the part left over is half
-    of it or more. Rows without words stay out, as the mix takes nothing of them; rows
-    that share a doc_id are each repeated as the one taken most."""
-    plan = mix(docs)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(F.lit(0)).cast("int")
-    per = plan.select(F.col("doc_id").alias("_mix_id"), copies.alias("_mix_copies")).where(F.col("_mix_copies") > 0).groupBy("_mix_id").agg(F.max("_mix_copies").alias("_mix_copies"))
-    joined = docs.join(per, docs["doc_id"].cast("long").eqNullSafe(per["_mix_id"]))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[docs[c] for c in docs.columns])
+def _starts(lengths: Column) -> Column:
+    """length and start of each of a source's lengths: where its running sum of copies
+    begins, so that it ends on the number of copies that leaves the fewest words over."""
+
+    def step(acc: Column, x: Column) -> Column:
+        part, mean = x["shares"].bitwiseAND(COPY - 1), x["taken"] * F.lit(float(COPY)) / x["shares"]
+        due = acc["carry"] + x["taken"] - F.shiftright(x["shares"], COPY_BITS) * mean
+        up = (part > 0) & (2 * due >= mean)
+        start = F.when(up, COPY - F.shiftright(part + 1, 1)).otherwise(F.shiftright(COPY - part, 1))
+        return F.struct(F.when(up, due - mean).otherwise(due).alias("carry"), F.concat(acc["out"], F.array(F.struct(x["length"].alias("length"), start.cast("long").alias("start")))).alias("out"))
+
+    none = F.struct(F.lit(0.0).alias("carry"), F.array().cast("array<struct<length:int,start:bigint>>").alias("out"))
+    return F.aggregate(F.sort_array(lengths, asc=False), none, step)["out"]
+
+
+def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
+    """Documents as the mix takes them, with the columns of docs: each row stays out or is
+    repeated, in whole copies, so that its source's copied words meet what the mix takes.
+
+    A row that is taken taken / size times gets that number of copies, rounded up or down
+    by the running sum over the rows of its source and length (a class of like size). Of a
+    class's two nearest numbers of copies that one is made which leaves the fewest words
+    over, and these are carried to the next shorter class. So each length has its share.
+    Rows without words stay out, as the mix takes nothing of them."""
+    numbered = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    share = F.when(F.col("size") > 0, F.expr(f"(taken * {COPY}L) div size")).otherwise(F.lit(0)).cast("long")
+    length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * LENGTHS)).otherwise(F.lit(-1)).cast("int")
+    plan = _mixed(numbered, seed=seed, keep=("_mix_row",)).where(F.col("taken") > 0)
+    plan = stored(plan.select("_mix_row", "doc_id", "size", "source", "shard", "taken", length.alias("length"), share.alias("share")), "mix-shares")
+
+    # Running sums within the rows of a source's length and shard, and over those groups.
+    group = ["source", "length", "shard"]
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    groups = plan.groupBy(*group).agg(F.sum("share").alias("shares"), F.sum("taken").alias("taken"))
+    lengths = groups.groupBy("source", "length").agg(F.sum("shares").alias("shares"), F.sum("taken").alias("taken"))
+    starts = lengths.groupBy("source").agg(F.collect_list(F.struct("length", "shares", "taken")).alias("all")).select("source", F.explode(_starts(F.col("all"))).alias("s")).select(F.col("source").alias("_source"), F.col("s.length").alias("_length"), F.col("s.start").alias("start"))
+    groups = groups.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("length") == F.col("_length")))
+    groups = groups.select("_source", "_length", F.col("shard").alias("_shard"), (F.col("start") + before(W.partitionBy("source", "length").orderBy("shard"), "shares")).alias("base"))
+    placed = plan.withColumn("within", before(W.partitionBy(*group).orderBy(F.xxhash64(F.lit(seed), F.col("doc_id")), "doc_id", "size", "_mix_row"), "share"))
+    placed = placed.join(groups, F.col("source").eqNullSafe(F.col("_source")) & (F.col("length") == F.col("_length")) & (F.col("shard") == F.col("_shard")))
+    begin = F.col("base") + F.col("within")
+    copies = (F.shiftright(begin + F.col("share"), COPY_BITS) - F.shiftright(begin, COPY_BITS)).cast("int")
+    per = placed.select(F.col("_mix_row").alias("_mix_of"), copies.alias("_mix_copies")).where(F.col("_mix_copies") > 0)
+    joined = numbered.join(per, F.col("_mix_row") == F.col("_mix_of"))
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[numbered[c] for c in docs.columns])

@@ -108,6 +108,26 @@ def test_mixed_documents_repeat_rows(spark):
     assert sum(n for i, n in got.items() if i >= 40) > 25 > sum(n for i, n in got.items() if i < 40)
 
 
+def test_mixed_documents_meet_targets_with_long_documents(spark):
+    """Less than half of the largest source is taken; ids repeat or are null."""
+    random.seed(12)
+    rows = [(random.choice([i, i, None, i % 7]), "w " * random.choice([3, 60, 400, 900, 3000]), random.choices(["a", "b", "c", None], [6, 1, 2, 2])[0]) for i in range(400)]
+    docs = frame(spark, rows)
+    size, longest = collections.Counter(), collections.Counter()
+    for _, t, s in rows:
+        size[s] += len(t) // 2
+        longest[s] = max(longest[s], len(t) // 2)
+    target = water_fill(size)
+    assert target["a"] < 0.5 * size["a"]
+    got = mixing.mixed_documents(docs)
+    assert got.columns == docs.columns
+    kept = collections.Counter()
+    for r in got.collect():
+        kept[r.source] += len(r.text) // 2
+    for s in size:
+        assert abs(kept[s] - target[s]) <= longest[s], (s, kept[s], target[s])
+
+
 # --- 2 fingerprints ----------------------------------------------------------------
 
 
