@@ -3,15 +3,15 @@
 Counts of single words and of word pairs are gathered from the training documents,
 quantised by powers of two, and kept in a Bloom filter: an n-gram of level j is entered
 as members 1 to j, so its level is read by probing 1, 2, ... until a probe fails. The
-filter is broadcast; a text's score is the sum of log10 of smoothed pair probabilities
-(Dirichlet smoothing of pair counts towards add-one word probabilities), all of whose
-counts come from those probes. The filter grows with the n-grams up to MOST_FILTER
-bytes; beyond, its parts raise the lowest level that they store, which makes the
-quantisation coarser at its low end and leaves every document and word in.
+text's score is the sum of log10 of smoothed pair probabilities (Dirichlet smoothing of
+pair counts towards add-one word probabilities), all of whose counts come from those
+probes. The filter grows with the n-grams, every one of which it holds, in parts by hash.
 
-Exact counts (for the base score) are kept by 64-bit word hash. Up to MOST_WORDS of
-them are broadcast; beyond, documents are dealt into buckets, each bucket asks for the
-words that it holds, and the counts are joined to it (the same results either way).
+Exact counts (for the base score) are kept by 64-bit word hash. Up to MOST_WORDS of them
+and a filter of up to MOST_FILTER bytes are broadcast. Beyond either, parts stay where
+they are: documents are dealt into buckets, each bucket asks the parts for the levels of
+its n-grams and the counts of its words, and the answers are joined to it (the same
+results either way).
 
 A text's tokens are its words and one end; a pair's first word is the end at the start.
 Null text is empty: one token. Null ids train and are not held out. Repeated rows count
@@ -32,6 +32,7 @@ from .tokens import Tokens
 
 MODULUS, HELD_REMAINDER = 7, 2
 BITS_PER_MEMBER, PROBES = 12, 5
+#: Up to so many bytes of filter, and so many words, are broadcast.
 MOST_FILTER = 96 << 20
 MOST_WORDS = 8_000_000
 #: Weight of the word probabilities in a pair's smoothing, in counts.
@@ -154,7 +155,7 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")) % MODULUS == HELD_REMAINDER, F.lit(False))
 
 
-def gather(training: DataFrame, n_parts: int, most_filter: int = MOST_FILTER) -> DataFrame:
+def gather(training: DataFrame, n_parts: int) -> DataFrame:
     """order, part, bits, floor, hashes, counts: the filter's parts, with the exact counts of order 1.
 
     Every task sums its own counts before they are dealt, by hash, to the parts.
@@ -194,7 +195,7 @@ def gather(training: DataFrame, n_parts: int, most_filter: int = MOST_FILTER) ->
 
         hashes, counts = _summed(np.concatenate([np.frombuffer(x, "<u8") for x in pdf["hashes"]]), np.concatenate([np.frombuffer(x, k).astype(np.int64) for x, k in zip(pdf["counts"], pdf["kind"])]))
         order = int(pdf["order"].iloc[0])
-        bits, floor = build_part(hashes, counts, most_filter * 8 * (1 if order == 1 else 3) // 4 // n_parts)
+        bits, floor = build_part(hashes, counts, len(hashes) * MOST_LEVEL * BITS_PER_MEMBER)
         exact = order == 1
         return pd.DataFrame({"order": [order], "part": [int(pdf["part"].iloc[0])], "bits": [bits], "floor": [floor], "hashes": [hashes.tobytes() if exact else b""], "counts": [counts.astype("<i8").tobytes() if exact else b""], "kinds": [len(hashes)], "tokens": [int(counts.sum())]})
 
@@ -202,22 +203,27 @@ def gather(training: DataFrame, n_parts: int, most_filter: int = MOST_FILTER) ->
 
 
 class Model:
-    """What the workers need: the filters of both orders and the corpus totals."""
+    """What the workers need: the corpus totals, and the filters of both orders if they are broadcast."""
 
-    def __init__(self, words: CountFilter, pairs: CountFilter, tokens: int, kinds: int, mu: float):
-        self.words, self.pairs, self.tokens, self.kinds, self.mu = words, pairs, tokens, kinds, mu
+    def __init__(self, filters: list[CountFilter], tokens: int, kinds: int, mu: float):
+        self.filters, self.tokens, self.kinds, self.mu = filters, tokens, kinds, mu
 
-    def score(self, stream: np.ndarray, before: np.ndarray, hashes: np.ndarray, at: np.ndarray, at_before: np.ndarray) -> np.ndarray:
-        """log10 probability of each token; at and at_before number tokens among the distinct hashes."""
-        about = level_count(self.words.level(hashes))
+    def levels(self, order: int, hashes: np.ndarray) -> np.ndarray:
+        return self.filters[order - 1].level(hashes)
+
+    def score(self, stream: np.ndarray, before: np.ndarray, hashes: np.ndarray, at: np.ndarray, at_before: np.ndarray, levels) -> np.ndarray:
+        """log10 probability of each token; at and at_before number tokens among the distinct
+        hashes; levels gives those of an order's n-grams."""
+        about = level_count(levels(1, hashes))
         word = (about[at] + 1.0) / (self.tokens + self.kinds + 1.0)
         context = about[at_before]
-        pair = np.minimum(level_count(self.pairs.level(pair_hashes(before, stream))), np.minimum(context, about[at]))
+        pair = np.minimum(level_count(levels(2, pair_hashes(before, stream))), np.minimum(context, about[at]))
         return np.log10((pair + self.mu * word) / (context + self.mu))
 
 
-def score_chunk(texts: list[bytes], model: Model, lookup) -> Iterator[tuple]:
-    """n_tokens, n_known, base_score, score of each text; lookup gives exact counts of hashes."""
+def score_chunk(texts: list[bytes], model: Model, lookup, levels) -> Iterator[tuple]:
+    """n_tokens, n_known, base_score, score of each text; lookup gives exact counts of
+    words' hashes, levels those of an order's n-grams."""
     tok, stream, before, doc = token_stream(texts)
     hashes = np.append(word_hashes(tok.vocabulary), END)
     at = np.full(len(stream), len(hashes) - 1, np.int64)
@@ -227,7 +233,7 @@ def score_chunk(texts: list[bytes], model: Model, lookup) -> Iterator[tuple]:
     at_before = np.concatenate([[len(hashes) - 1], at[:-1]])
     exact = lookup(hashes)
     base = np.log10((exact[at] + 1.0) / (model.tokens + 1.0 * (model.kinds + 1.0)))
-    own = model.score(stream, before, hashes, at, at_before)
+    own = model.score(stream, before, hashes, at, at_before, levels)
     size = len(texts)
     yield from zip(
         (tok.lengths + 1).tolist(), np.bincount(doc, exact[at] > 0, size).astype(np.int64).tolist(), np.bincount(doc, base, size).tolist(), np.bincount(doc, own, size).tolist()
@@ -241,15 +247,15 @@ def score_documents(docs: DataFrame, mu: float = MU, most_words: int = MOST_WORD
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), utf8().alias("text"))
     size = slim.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("bytes")).first().bytes
     n_parts = max(LEAST_PARTS, -(-size // PART_BYTES))
-    parts = stored(gather(slim.where(~F.col("held_out")), n_parts, most_filter), "lm-parts", "none")
-    totals = {r.order: r for r in parts.groupBy("order").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens")).collect()}
+    parts = stored(gather(slim.where(~F.col("held_out")), n_parts), "lm-parts", "none")
+    totals = {r.order: r for r in parts.groupBy("order").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens"), F.sum(F.length("bits")).alias("bytes")).collect()}
     tokens, kinds = (totals[1].tokens, totals[1].kinds) if 1 in totals else (0, 0)
-    filters = [CountFilter([(r.part, bytes(r.bits), r.floor) for r in parts.where(F.col("order") == order).select("part", "bits", "floor").collect()], n_parts) for order in (1, 2)]
     sc = docs.sparkSession.sparkContext
-    model = sc.broadcast(Model(*filters, tokens, kinds, mu))
-    del filters
-    counts = parts.where(F.col("order") == 1).select("part", "hashes", "counts")
-    if kinds <= most_words:
+    if kinds <= most_words and sum(r.bytes for r in totals.values()) <= most_filter:
+        filters = [CountFilter([(r.part, bytes(r.bits), r.floor) for r in parts.where(F.col("order") == order).select("part", "bits", "floor").collect()], n_parts) for order in (1, 2)]
+        model = sc.broadcast(Model(filters, tokens, kinds, mu))
+        del filters
+        counts = parts.where(F.col("order") == 1).select("part", "hashes", "counts")
         # Parts are in order of the hash, so their arrays join into one sorted array.
         got = sorted((r.part, bytes(r.hashes), bytes(r.counts)) for r in counts.collect())
         table = sc.broadcast((np.frombuffer(b"".join(x[1] for x in got), "<u8"), np.frombuffer(b"".join(x[2] for x in got), "<i8")))
@@ -262,11 +268,11 @@ def score_documents(docs: DataFrame, mu: float = MU, most_words: int = MOST_WORD
                 return _found(hashes, known, exact)
 
             for some in chunks(tuples, 2):
-                for (k, held, _), row in zip(some, score_chunk([t[2] for t in some], model.value, lookup)):
+                for (k, held, _), row in zip(some, score_chunk([t[2] for t in some], model.value, lookup, model.value.levels)):
                     yield k, held, *row[:2], model.value.tokens, *row[2:]
 
         return map_rows(slim, rows, RESULT)
-    return _score_in_buckets(slim, counts, model, n_parts, max(1, -(-size // BUCKET_BYTES)))
+    return _score_in_buckets(slim, parts, Model([], tokens, kinds, mu), n_parts, max(1, -(-size // BUCKET_BYTES)))
 
 
 def _found(hashes: np.ndarray, known: np.ndarray, exact: np.ndarray) -> np.ndarray:
@@ -276,34 +282,58 @@ def _found(hashes: np.ndarray, known: np.ndarray, exact: np.ndarray) -> np.ndarr
     return np.where(known[at] == hashes, exact[at], 0)
 
 
-def _score_in_buckets(slim: DataFrame, counts: DataFrame, model, n_parts: int, n_buckets: int) -> DataFrame:
-    """For vocabularies too large to broadcast: each bucket of documents gets the counts of its own words."""
+def _in_chunks(texts) -> Iterator[list[bytes]]:
+    return ([t for (t,) in some] for some in chunks(((t,) for t in texts), 0))
+
+
+def _wanted(texts) -> dict[int, np.ndarray]:
+    """The distinct hashes of the words (1) and of the pairs (2) of texts, ascending."""
+    words, pairs = [np.array([END])], [np.zeros(0, np.uint64)]
+    for some in _in_chunks(texts):
+        tok, stream, before, _ = token_stream(some)
+        words.append(word_hashes(tok.vocabulary))
+        pairs.append(np.unique(pair_hashes(before, stream)))
+    return {1: np.unique(np.concatenate(words)), 2: np.unique(np.concatenate(pairs))}
+
+
+def _score_in_buckets(slim: DataFrame, parts: DataFrame, model: Model, n_parts: int, n_buckets: int) -> DataFrame:
+    """For models too large to broadcast: each bucket of documents gets the levels of its own
+    n-grams and the counts of its own words, in the order of their hashes."""
     import pandas as pd
 
     bucketed = slim.withColumn("bucket", F.pmod(F.xxhash64(F.lit(5), "doc_id", F.crc32("text")), F.lit(n_buckets)).cast("int"))
 
     def ask(pdf):
-        hashes = np.unique(np.append(word_hashes(list({w for t in pdf["text"] for w in t.lower().split()})), END))
-        part = part_of(hashes, n_parts)
-        cuts = np.searchsorted(part, np.arange(n_parts + 1))
-        held = [p for p in range(n_parts) if cuts[p] < cuts[p + 1]]
-        return pd.DataFrame({"bucket": int(pdf["bucket"].iloc[0]), "part": held, "wanted": [hashes[cuts[p] : cuts[p + 1]].tobytes() for p in held]})
+        rows = []
+        for order, hashes in _wanted(pdf["text"]).items():
+            cuts = np.searchsorted(part_of(hashes, n_parts), np.arange(n_parts + 1))
+            rows += [(int(pdf["bucket"].iloc[0]), order, p, hashes[cuts[p] : cuts[p + 1]].tobytes()) for p in range(n_parts) if cuts[p] < cuts[p + 1]]
+        return pd.DataFrame(rows, columns=["bucket", "order", "part", "wanted"])
 
     def answer(asked, stock):
-        if not len(asked):
-            return pd.DataFrame({"bucket": [], "hashes": [], "counts": []})
-        known, exact = (np.frombuffer(stock["hashes"].iloc[0], "<u8"), np.frombuffer(stock["counts"].iloc[0], "<i8")) if len(stock) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        wanted = [np.frombuffer(x, "<u8") for x in asked["wanted"]]
-        return pd.DataFrame({"bucket": asked["bucket"], "hashes": [w.tobytes() for w in wanted], "counts": [_found(w, known, exact).tobytes() for w in wanted]})
+        out = []
+        if len(asked):
+            order, part = int(asked["order"].iloc[0]), int(asked["part"].iloc[0])
+            held = [(part, stock["bits"].iloc[0], int(stock["floor"].iloc[0]))] if len(stock) else []
+            made = CountFilter(held, n_parts)
+            known, exact = (np.frombuffer(stock["hashes"].iloc[0], "<u8"), np.frombuffer(stock["counts"].iloc[0], "<i8")) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            for bucket, wanted in zip(asked["bucket"], asked["wanted"]):
+                w = np.frombuffer(wanted, "<u8")
+                out.append((bucket, order, part, made.level(w).astype(np.uint8).tobytes(), _found(w, known, exact).astype("<i8").tobytes() if order == 1 else b""))
+        return pd.DataFrame(out, columns=["bucket", "order", "part", "levels", "counts"])
 
     def score(texts, told):
-        order = np.argsort(known := np.concatenate([np.frombuffer(x, "<u8") for x in told["hashes"]]))
-        known, exact = known[order], np.concatenate([np.frombuffer(x, "<i8") for x in told["counts"]])[order]
-        rows = score_chunk(list(texts["text"]), model.value, lambda hashes: _found(hashes, known, exact))
-        out = [(k, bool(h), *r[:2], model.value.tokens, *r[2:]) for k, h, r in zip(texts["doc_id"].astype(object).where(texts["doc_id"].notna(), None), texts["held_out"], rows)]
+        if not len(texts):
+            return pd.DataFrame({c.split()[0]: [] for c in RESULT.split(", ")})
+        wanted, told = _wanted(texts["text"]), told.sort_values(["order", "part"])
+        joined = lambda order, column, kind: np.frombuffer(b"".join(told.loc[told["order"] == order, column]), kind).astype(np.int64)
+        level, exact = {order: joined(order, "levels", "u1") for order in (1, 2)}, joined(1, "counts", "<i8")
+        at = lambda order, hashes: np.searchsorted(wanted[order], hashes)
+        rows = (r for some in _in_chunks(texts["text"]) for r in score_chunk(some, model, lambda hashes: exact[at(1, hashes)], lambda order, hashes: level[order][at(order, hashes)]))
+        out = [(k, bool(h), *r[:2], model.tokens, *r[2:]) for k, h, r in zip(texts["doc_id"].astype(object).where(texts["doc_id"].notna(), None), texts["held_out"], rows)]
         frame = pd.DataFrame(out, columns=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
         return frame.astype({"doc_id": "Int64"})
 
-    asked = bucketed.groupBy("bucket").applyInPandas(ask, "bucket int, part int, wanted binary")
-    told = asked.groupBy("part").cogroup(counts.groupBy("part")).applyInPandas(answer, "bucket int, hashes binary, counts binary")
+    asked = bucketed.groupBy("bucket").applyInPandas(ask, "bucket int, order int, part int, wanted binary")
+    told = asked.groupBy("order", "part").cogroup(parts.select("order", "part", "bits", "floor", "hashes", "counts").groupBy("order", "part")).applyInPandas(answer, "bucket int, order int, part int, levels binary, counts binary")
     return bucketed.groupBy("bucket").cogroup(told.groupBy("bucket")).applyInPandas(score, RESULT)

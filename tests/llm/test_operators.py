@@ -216,6 +216,13 @@ def test_base_scores_are_exact_and_the_model_learns(spark, odd, most_words):
     assert fox and all(r.score > r.base_score for r in fox)
 
 
+def test_scores_are_the_same_however_small_the_broadcast(spark, odd):
+    rows = odd + [(30_000 + i, " ".join(f"w{i * j % 1999}" for j in range(200)), "a") for i in range(60)]
+    results = [ngram_lm.score_documents(frame(spark, rows), **x).collect() for x in ({}, {"most_filter": 2000}, {"most_words": 0})]
+    for got in results[1:]:
+        same([tuple(r) for r in got], [tuple(r) for r in results[0]])
+
+
 def test_filter_reads_back_levels():
     rng = np.random.default_rng(0)
     hashes = rng.integers(0, 2**63, 5000, dtype=np.uint64)
