@@ -390,8 +390,15 @@ def near_join(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without all but the least id of each component. Rows without words stay, and
-    so do rows of a null id; rows repeated with the least id stay repeated."""
-    found = near_join(docs).where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id")))
-    gone = stored(found.select(F.col("doc_id").alias("_gone")).distinct(), "near-gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
+    """docs with one row of each component: that of the least id, a null id coming last,
+    and of rows that share it the one stored first. Rows without words stay.
+
+    Rows are told apart by a stored number, which stands for doc_id in the join."""
+    numbered = stored(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-rows")
+    found = near_join(numbered.select(F.col("_near_row").alias("doc_id"), "text")).where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("_row"), "component_id")
+    found = stored(found, "near-found")
+    named = found.join(numbered.select("_near_row", F.col("doc_id").cast("long").alias("_near_id")), F.col("_row") == F.col("_near_row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_near_id").isNull().alias("none"), "_near_id", "_row")).alias("first")).select(F.col("first._row").alias("_first"))
+    gone = stored(found.join(first, F.col("_row") == F.col("_first"), "left_anti").select("_row"), "near-gone")
+    kept = numbered.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, F.col("_near_row") == F.col("_row"), "left_anti")
+    return kept.select(*docs.columns)

@@ -499,6 +499,13 @@ def test_one_of_each_group_stays(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 8, 9]
 
 
+def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
+    text, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(None, text, "a"), (None, text + " tail", "a"), (None, text, "b"), (7, other, "a"), (7, other, "a"), (9, other + " end", "a"), (None, other, "a"), (None, "", "a"), (None, "", "a")]
+    kept = near_join.one_of_each(frame(spark, rows)).collect()
+    assert sorted((r.doc_id or 0, r.text[:1]) for r in kept) == [(0, ""), (0, ""), (0, "w"), (7, "v")]
+
+
 # --- all of them ---------------------------------------------------------------------
 
 
