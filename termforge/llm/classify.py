@@ -236,7 +236,7 @@ class ToxicityFeatures:
         core = w.strip(b".,;:!?\"'()#%&*$")
         mixed = not core.isalpha() and any(97 <= c <= 122 for c in core) and any(c in b"0123456789@$!|*.-_" for c in core)
         hidden = False
-        if mixed and len(core) <= 24:
+        if mixed:
             seen = re.sub(rb"[^a-z]", b"", core.translate(LEET)).decode()
             hidden = not plain and (seen in self.insults or re.sub(r"(.)\1+", r"\1", seen) in self.insults)
         return float(plain), odds, float(hidden), float(bare in self.second), float(mixed)

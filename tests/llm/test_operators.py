@@ -421,6 +421,13 @@ def test_toxic_rows_go_and_others_pass_whole(spark, labelled):
     assert not left & toxic and len(left) >= 0.97 * (500 - len(toxic))
 
 
+def test_long_obfuscated_insults_count_as_hidden():
+    features = classify.ToxicityFeatures({})
+    for w in ("st" + "u" * 40 + "p1d", "-".join("stup1d") + "-" * 30, "s" + "·" * 20 + "tup1d"):
+        assert features.word(w.encode())[2] == 1.0, w
+    assert features.word(("st" + "u" * 40 + "p1dly").encode())[2] == 0.0
+
+
 # --- 10 near join --------------------------------------------------------------------
 
 
