@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +63,14 @@ def utf8(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("binary"), F.lit(b"").cast("binary"))
 
 
+def give_back() -> None:
+    """Return to the system what a task has freed: a worker is used again by tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]], schema: str) -> DataFrame:
     """mapInArrow over tuples of Python values; rows is called once a partition."""
 
@@ -85,7 +95,7 @@ def map_rows(df: DataFrame, rows: Callable[[Iterator[tuple]], Iterable[tuple]],
                 out, size = [], 0
         if out:
             yield pack()
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     from pyspark.sql.types import _parse_datatype_string
 
@@ -109,3 +119,58 @@ def chunks(rows: Iterable[tuple], at: int, most: int = CHUNK_BYTES) -> Iterator[
 
 def shuffle_parts(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+# --- dealing many small records by hash ---------------------------------------------
+
+#: Parts that a task deals to at once; more are dealt in two rounds, so that what a task
+#: gives out stays in few rows however many parts there are.
+FAN = 4096
+#: Records that a task holds before it gives them out.
+HELD_RECORDS = 500_000
+
+
+def part_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
+
+
+def by_part(n_parts: int, kind: str) -> Callable[[Iterable[tuple[np.ndarray, np.ndarray]]], Iterator[tuple]]:
+    """Turns pieces (hashes, values of the numpy type `kind`) into rows part, hashes, values
+    (binary), with the hashes of each row ascending."""
+
+    def out(pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
+        held, size = [], 0
+        for piece in pieces:
+            held.append(piece)
+            size += len(piece[0])
+            if size > HELD_RECORDS:
+                yield from give(held)
+                held, size = [], 0
+        if size:
+            yield from give(held)
+
+    def give(held) -> Iterator[tuple]:
+        hashes, values = (np.concatenate(x) for x in zip(*held))
+        order = np.argsort(hashes, kind="stable")
+        hashes, values = hashes[order], values[order].astype(kind)
+        part = part_of(hashes, n_parts)
+        cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
+        for a, b in zip(cuts, cuts[1:]):
+            yield int(part[a]), hashes[a:b].tobytes(), values[a:b].tobytes()
+
+    return out
+
+
+def deal(df: DataFrame, pieces: Callable[[Iterator[tuple]], Iterable[tuple[np.ndarray, np.ndarray]]], n_parts: int, kind: str) -> DataFrame:
+    """part, hashes, values: records from `pieces` (called once a partition), dealt by hash.
+
+    A row holds what a task has for a part. Beyond FAN parts tasks deal to FAN ranges of
+    parts first, and each range is dealt to its parts after an exchange."""
+    schema = "part int, hashes binary, values binary"
+    coarse = by_part(min(n_parts, FAN), kind)
+    rows = map_rows(df, lambda tuples: coarse(pieces(tuples)), schema)
+    if n_parts <= FAN:
+        return rows
+    fine = by_part(n_parts, kind)
+    again = lambda tuples: fine((np.frombuffer(h, "<u8"), np.frombuffer(v, kind)) for h, v in tuples)
+    return map_rows(rows.repartition(F.col("part")).select("hashes", "values"), again, schema)

@@ -6,21 +6,31 @@ with fewer words, the whole sequence as one). Two sets link if 100 * intersectio
 
 Sizes fall into bands, each 1.25 times as wide as the one before, so that linked sets
 are in one band or in neighbouring ones; a set takes part in its own band's instance
-and in the next one's. An instance for sizes up to r allows k = 2r / 9 differences and
-divides the feature domain into p = k + 1 + spare parts: linked sets agree on spare + 1
-parts at least. A set's signatures are the hashes of its parts that aren't empty. At
-most `spare` parts of a set are empty but for rare sets, which emit their empty parts
-too; so linked sets share a signature, whatever they hold.
+and in the next one's. An instance for sizes up to r allows k = 2r / 9 differences. It
+divides the feature domain into partitions, and each of them into second-level parts,
+of which it enumerates subsets: a signature is what a set holds in one subset of the
+parts of one partition. plan() has the numbers. For k from 5 on a partition has three
+parts, whose three pairs are its subsets; (k + 1) / 2 partitions would make sure that one
+of them has at most one difference, so that two of its parts agree, and `spare` more
+make sure of spare + 1 such partitions. For less k one partition has k + 3 or more
+parts, and all subsets without k of them are signatures.
+
+So linked sets share signatures of spare + 1 partitions at least, and a set may drop
+those of `spare` partitions, provided that all sets drop by one order: first empty
+ones, by partition, then the most frequent. The last of the shared ones in that order is
+dropped by neither. A signature that many sets share because they hold one passage, or
+nothing, is thus mostly dropped, and no link with it.
 
 Equal sets are one class, told apart by a 128-bit hash, and never compared. Classes that
 share a signature are candidates: first each with the least class of its signature;
-those that verify are joined into components. Then, of signatures whose classes are
-still in different components, all pairs across components that the sizes and sketches
-(counts of hashes, whose differences can't exceed those of the sets) leave possible.
-So every link either is found or lies inside a component already; groups of thousands
-of near copies cost one comparison each, and groups that share only a passage fall to
-the sketch. Groups above BLOCK classes are compared block by block. Sets are compared
-from the texts of the candidates alone.
+those that verify are joined into components. Then tasks hold the signatures whose classes
+are still in different components, and propose of the pairs that sizes and sketches
+(counts of hashes, whose differences can't exceed those of the sets) leave possible
+only those that join two components, not all pairs of a group. If all proposals verify,
+nothing is left to find; otherwise all possible pairs across the components that are
+left are verified. So every link either is found or lies inside a component already.
+Groups above BLOCK classes are compared block by block. Sets are compared from the
+texts of the candidates alone.
 
 Null text is an empty text: no shingles, linked with nothing, its component its own id.
 A null id is a node like any other; its component is the least id it reaches, null if
@@ -30,16 +40,18 @@ none. Repeated rows are equal sets. Other columns are ignored; an empty table gi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, map_rows, stored, utf8
+from .common import chunks, deal, discard, give_back, map_rows, stored, utf8
 from .components import components
-from .ngram_lm import LEAST_PARTS, PART_BYTES, mix, part_of, word_hashes
+from .ngram_lm import LEAST_PARTS, PART_BYTES, mix, word_hashes
 from .tokens import Tokens
 
 N = 5
@@ -50,8 +62,6 @@ PARITIES, SKETCH, FINE_SKETCH = 1024, 64, 512
 BLOCK = 4096
 #: Pairs that a task holds to tell repeats, and rows of groups that are dealt together for that.
 HELD_PAIRS, TOGETHER = 2_000_000, 200_000
-#: Signatures that a task holds before it deals them out.
-HELD_SIGNATURES = 500_000
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; beyond, a shuffled join does.
 MOST_IDS = 1_000_000
 _POWERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -98,36 +108,64 @@ def _bands(most: int) -> np.ndarray:
     return np.array(bounds + [max(bounds[-1] + 1, -(-bounds[-1] * 5 // 4))], np.int64)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of all sets, and the number of the set each belongs to."""
+def plan(k: int) -> tuple[int, int, int, int]:
+    """For k differences: partitions that are needed, spare ones, second-level parts of
+    each, and how many of them a subset leaves out. A partition in excess of
+    (k + 1) / (left out + 1), rounded up, is a spare one."""
+    if k < 5:
+        return 1, 0, max(7, k + 3) if k > 2 else k + 4, k
+    needed = (k + 2) // 2
+    return needed, -(-3 * needed // 10), 3, 1
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of all sets; the number of the set each belongs to; and a flag: the
+    number of signatures that the set may drop in this instance, and the instance (128)."""
     sizes = np.array([len(s) for s in sets], np.int64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
     if not sizes.sum():
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    bounds, elements = _bands(int(sizes.max())), np.concatenate(sets)
-    own = np.repeat(np.arange(len(sets)), sizes)
-    value = mix(elements ^ np.uint64(0x2545F4914F6CDD1D))
-    low, high = (value & np.uint64(0xFFFFFFFF)).astype(np.float64), (value >> np.uint64(32)).astype(np.float64)
-    found, whose = [], []
+        return none
+    bounds = _bands(int(sizes.max()))
+    found = [none]
     for step in (0, 1):
         band = np.searchsorted(bounds, np.maximum(1, sizes)) + step
         k = 2 * bounds[band] // 9
-        spare = -(-k // 5) + 4
-        parts = np.where((k > 0) & (sizes > 0), k + 1 + spare, 0)
-        base = np.concatenate([[0], np.cumsum(parts)])
-        live = parts[own] > 0
-        seed = mix(band.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(7))
-        part = ((mix(elements + seed[own]) >> np.uint64(32)) * parts[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
-        slot = (base[own] + part)[live]
-        filled = np.bincount(slot, minlength=base[-1])
-        a, b = np.bincount(slot, low[live], base[-1]).astype(np.uint64), np.bincount(slot, high[live], base[-1]).astype(np.uint64)
-        of = np.repeat(np.arange(len(sets)), parts)
-        place = (np.arange(base[-1]) - base[of]).astype(np.uint64)
-        h = mix(mix(a + seed[of]) + b * np.uint64(0x9E3779B97F4A7C15) + place * np.uint64(0xC2B2AE3D27D4EB4F) + filled.astype(np.uint64))
-        empty = np.bincount(of, filled == 0, len(sets))
-        keep = (filled > 0) | (empty > spare)[of]
-        found.append(h[keep])
-        whose.append(of[keep])
-    return np.concatenate(found), np.concatenate(whose)
+        for small in [k_ for k_ in range(1, 5) if (k == k_).any()] + [0]:
+            which = np.flatnonzero(((k == small) if small else (k >= 5)) & (sizes > 0))
+            if len(which):
+                h, of, spare = _enumerated([sets[i] for i in which.tolist()], band[which], k[which])
+                found.append((h, which[of], np.minimum(127, spare[of]).astype(np.uint8) | np.uint8(128 * step)))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def _enumerated(sets: list[np.ndarray], band: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of sets with the same second level, each one's set, and how many more
+    signatures each set may drop."""
+    plans = np.array([plan(int(x)) for x in k.tolist()], np.int64)
+    count, spare, parts, out = plans[:, 0] + plans[:, 1], plans[:, 1], int(plans[0, 2]), int(plans[0, 3])
+    elements, own = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    seed = mix(band.astype(np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(7))
+    base = np.concatenate([[0], np.cumsum(count)])
+    slot = ((mix(elements + seed[own]) >> np.uint64(32)) * (count * parts)[own].astype(np.uint64) >> np.uint64(32)).astype(np.int64) + base[own] * parts
+    value = mix(elements ^ np.uint64(0x2545F4914F6CDD1D))
+    held = lambda weights: np.bincount(slot, weights, base[-1] * parts).reshape(-1, parts)
+    low, high = held((value & np.uint64(0xFFFFFFFF)).astype(np.float64)), held((value >> np.uint64(32)).astype(np.float64))
+    filled = np.bincount(slot, minlength=base[-1] * parts).reshape(-1, parts)
+    of = np.repeat(np.arange(len(sets)), count)
+    place = (np.arange(base[-1]) - base[of]).astype(np.uint64)
+    hashes, empty = [], []
+    for number, subset in enumerate(combinations(range(parts), parts - out)):
+        a, b, n = (x[:, subset].sum(1) for x in (low, high, filled))
+        there = place * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(number * 0x9E3779B9) + n.astype(np.uint64)
+        hashes.append(mix(mix(a.astype(np.uint64) + seed[of]) + b.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + there))
+        empty.append(n == 0)
+    hashes, empty = np.stack(hashes, 1), np.stack(empty, 1)
+    # Empty signatures go first, partition by partition, until `spare` partitions are used up.
+    poor = empty.any(1)
+    before = np.concatenate([[0], np.cumsum(poor)])
+    keep = ~empty | (before[:-1] - before[base[of]] >= spare[of])[:, None]
+    left = np.maximum(0, spare - (before[base[1:]] - before[base[:-1]]))
+    return hashes[keep], np.repeat(of, keep.sum(1)), left
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -145,58 +183,43 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
 
 def signature_groups(docs: DataFrame, n_parts: int) -> DataFrame:
-    """part, signatures, nodes: the signatures that several classes share, ascending, with their classes."""
-
-    def deal(tuples: Iterator[tuple]) -> Iterator[tuple]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def out() -> Iterator[tuple]:
-            sig, node = (np.concatenate(x) for x in zip(*held))
-            part = part_of(sig, n_parts)
-            order = np.argsort(part, kind="stable")
-            sig, node, cuts = sig[order], node[order], np.searchsorted(part[order], np.arange(n_parts + 1))
-            s6, n5 = sig.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6], node.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-            for p in range(n_parts):
-                if (a := cuts[p]) < (b := cuts[p + 1]):
-                    yield p, s6[a:b].tobytes(), n5[a:b].tobytes()
+    """part, signatures, nodes, flags, sizes: the signatures that several classes share,
+    ascending, with their classes and the number of them."""
 
+    def pieces(tuples: Iterator[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for some in chunks(tuples, 0):
             classes: dict[tuple[int, int], np.ndarray] = {}
             for s in shingle_sets([t for (t,) in some]):
                 if len(s):
                     classes.setdefault(class_hash(s), s)
-            sig, whose = signatures(list(classes.values()))
-            upper = np.array([c[0] for c in classes], np.int64)
-            held.append((sig, node_of(upper)[whose]))
-            size += len(sig)
-            if size > HELD_SIGNATURES:
-                yield from out()
-                held, size = [], 0
-        if held and size:
-            yield from out()
-
-    dealt = map_rows(docs.select(utf8()), deal, "part int, signatures binary, nodes binary")
-
-    def wide(blobs, width: int) -> np.ndarray:
-        raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, width)
-        full = np.zeros((len(raw), 8), np.uint8)
-        full[:, :width] = raw
-        return full.view("<u8").ravel()
+            sig, whose, flag = signatures(list(classes.values()))
+            node = node_of(np.array([c[0] for c in classes], np.int64))[whose]
+            member = np.empty((len(sig), 6), np.uint8)
+            member[:, :5], member[:, 5] = node.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5], flag
+            yield sig, member.view("V6").ravel()
 
     def group(pdf):
         import pandas as pd
 
-        sig, node = wide(pdf["signatures"], 6), wide(pdf["nodes"], 5)
-        order = np.lexsort((node, sig))
-        sig, node = sig[order], node[order]
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        sig, node = sig[fresh], node[fresh]
-        same = sig[1:] == sig[:-1]
-        keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-        return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "signatures": [sig[keep].tobytes()], "nodes": [node[keep].tobytes()]})
-
-    return dealt.groupBy("part").applyInPandas(group, "part int, signatures binary, nodes binary")
+        sig = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["hashes"]])
+        member = np.zeros((len(sig), 8), np.uint8)
+        member[:, :6] = np.frombuffer(b"".join(pdf["values"]), np.uint8).reshape(-1, 6)
+        member = member.view("<u8").ravel()  # the flag above the node
+        order = np.lexsort((member & np.uint64((1 << 40) - 1), sig))
+        sig, member = sig[order], member[order]
+        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])])
+        sig, member = sig[fresh], member[fresh]
+        first = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        size = np.diff(np.append(first, len(sig)))
+        size = np.repeat(size, size)
+        keep = size > 1
+        sig, member, size = sig[keep], member[keep], size[keep]
+        row = int(pdf["part"].iloc[0]), sig.tobytes(), (member & np.uint64((1 << 40) - 1)).tobytes(), (member >> np.uint64(40)).astype(np.uint8).tobytes(), size.astype("<i4").tobytes()
+        give_back()
+        return pd.DataFrame([row], columns=["part", "signatures", "nodes", "flags", "sizes"])
+
+    dealt = deal(docs.select(utf8()), pieces, n_parts, "V6")
+    return dealt.groupBy("part").applyInPandas(group, "part int, signatures binary, nodes binary, flags binary, sizes binary")
 
 
 def star_pairs(groups: DataFrame) -> DataFrame:
@@ -237,17 +260,20 @@ def within_sketch(met: DataFrame) -> DataFrame:
 
 
 def members(groups: DataFrame) -> DataFrame:
-    """signature, node: a row a member of each group."""
+    """signature, node: a row a member of each group, without those that the set may drop."""
 
     def run(batches):
         for batch in batches:
-            for part, sig, node in zip(*(c.to_pylist() for c in batch.columns)):
-                sig, node = np.frombuffer(sig, "<u8"), np.frombuffer(node, "<u8")
-                key = (sig | (np.uint64(part) << np.uint64(48))).astype(np.int64)
-                for i in range(0, len(sig), 200_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(key[i : i + 200_000]), pa.array(node[i : i + 200_000].astype(np.int64))], names=["signature", "node"])
+            for sig, node, flag, size in zip(*(c.to_pylist() for c in batch.columns)):
+                sig, node, flag, size = (np.frombuffer(x, kind) for x, kind in ((sig, "<i8"), (node, "<i8"), (flag, "u1"), (size, "<i4")))
+                for i in range(0, len(sig), 100_000):
+                    at = slice(i, i + 100_000)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (sig[at], node[at], (flag[at] >> 7).astype(np.int32), (flag[at] & 127).astype(np.int32), size[at])], names=["signature", "node", "instance", "spare", "size"])
+        give_back()
 
-    return groups.select("part", "signatures", "nodes").mapInArrow(run, "signature long, node long")
+    rows = groups.select("signatures", "nodes", "flags", "sizes").mapInArrow(run, "signature long, node long, instance int, spare int, size int")
+    rank = F.row_number().over(W.partitionBy("node", "instance").orderBy(F.col("size").desc(), "signature"))
+    return rows.withColumn("rank", rank).where(F.col("rank") > F.col("spare")).select("signature", "node")
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -281,71 +307,121 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
     return linked
 
 
-def cross_pairs(rows: DataFrame) -> DataFrame:
-    """a, b: pairs of a group in different components that sizes and sketches leave possible.
+class _Joined:
+    """Union-find over the labels that a task has met."""
+
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        p = self.parent
+        while (y := p.get(x, x)) != x:
+            p[x] = x = p.get(y, y)
+        return x
+
+    def roots(self, labels: np.ndarray) -> np.ndarray:
+        distinct, at = np.unique(labels, return_inverse=True)
+        return np.array([self.root(x) for x in distinct.tolist()], np.int64)[at]
+
+    def unite(self, x: int, y: int) -> bool:
+        x, y = self.root(x), self.root(y)
+        self.parent[max(x, y)] = min(x, y)
+        return x != y
 
-    rows: signature, upper, n, label, sketch, sorted within partitions by signature; a
-    row's block matters only where lo and hi differ (a pair of blocks of a large group)."""
+
+class _Held:
+    """A task's distinct pairs, given out at the end, or before they outgrow memory."""
+
+    def __init__(self):
+        self.parts, self.size = [], 0
+
+    def add(self, found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        self.parts += found
+        self.size += sum(x.shape[1] for x in found)
+        if self.size > HELD_PAIRS:
+            self.parts = [np.unique(np.concatenate(self.parts, axis=1), axis=1)]
+            self.size = self.parts[0].shape[1]
+            if self.size > HELD_PAIRS // 2:
+                yield from self.out()
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            got = np.unique(np.concatenate(self.parts, axis=1), axis=1)
+            for i in range(0, got.shape[1], 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(got[0, i : i + 100_000]), pa.array(got[1, i : i + 100_000])], names=["a", "b"])
+        self.parts, self.size = [], 0
+
+
+def cross_pairs(rows: DataFrame, every: bool) -> DataFrame:
+    """a, b: pairs of a group in different components that sizes and sketches leave possible;
+    all of them, or only those that join components which the task hasn't joined so far.
+
+    rows: signature, upper, n, label, sketch, sorted within partitions by signature and n; a
+    row's block matters only where split is 1 (a pair of blocks of a large group)."""
 
     def run(batches):
-        rest, held = None, Held()
+        rest, held, joined = None, _Held(), _Joined()
         for batch in batches:
-            now = [np.array(c) if pa.types.is_integer(c.type) else c for c in batch.columns]
-            sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PARITIES // 8 + SKETCH)
-            cols = [*now[:-1], sketch]
+            if not batch.num_rows:
+                continue
+            now = [np.array(c) for c in batch.columns[:-1]]
+            cols = [*now, np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, PARITIES // 8 + SKETCH)]
             if rest is not None:
                 cols = [np.concatenate([a, b]) for a, b in zip(rest, cols)]
-            last = np.searchsorted(cols[0], cols[0][-1]) if len(cols[0]) else 0
+            last = np.searchsorted(cols[0], cols[0][-1])
             rest = [c[last:] for c in cols]
-            yield from held.add(pairs([c[:last] for c in cols]))
+            yield from held.add(pairs([c[:last] for c in cols], joined))
         if rest is not None:
-            yield from held.add(pairs(rest))
+            yield from held.add(pairs(rest, joined))
         yield from held.out()
+        give_back()
 
-    class Held:
-        """A task's distinct pairs, given out at the end, or before they outgrow memory."""
-
-        def __init__(self):
-            self.parts, self.size = [], 0
-
-        def add(self, found):
-            self.parts += found
-            self.size += sum(x.shape[1] for x in found)
-            if self.size > HELD_PAIRS:
-                self.parts = [np.unique(np.concatenate(self.parts, axis=1), axis=1)]
-                self.size = self.parts[0].shape[1]
-                if self.size > HELD_PAIRS // 2:
-                    yield from self.out()
-
-        def out(self):
-            if self.parts:
-                got = np.unique(np.concatenate(self.parts, axis=1), axis=1)
-                for i in range(0, got.shape[1], 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(got[0, i : i + 100_000]), pa.array(got[1, i : i + 100_000])], names=["a", "b"])
-            self.parts, self.size = [], 0
-
-    def pairs(cols):
+    def pairs(cols, joined):
         key, upper, n, label, block, split, sketch = cols
         found = []
+        if not every and len(key):
+            label = joined.roots(label)
         left = np.arange(len(key) - 1)
         d = 1
         while len(left):
             left = left[left + d < len(key)]
-            left = left[key[left] == key[left + d]]
+            left = left[(key[left] == key[left + d]) & (4 * n[left + d] <= 5 * n[left])]  # n ascends within a group
             right = left + d
-            near = (label[left] != label[right]) & (4 * np.maximum(n[left], n[right]) <= 5 * np.minimum(n[left], n[right])) & ((split[left] == 0) | (block[left] != block[right]))
+            near = (label[left] != label[right]) & ((split[left] == 0) | (block[left] != block[right]))
             i, j = left[near], right[near]
+            some = []
             for c in range(0, len(i), 50_000):
                 p, q = i[c : c + 50_000], j[c : c + 50_000]
                 ok = 9 * apart(sketch[p], sketch[q]).astype(np.int64) <= n[p] + n[q]
-                if ok.any():
-                    found.append(np.stack([np.minimum(upper[p[ok]], upper[q[ok]]), np.maximum(upper[p[ok]], upper[q[ok]])]))
+                some.append(np.stack([p[ok], q[ok]]))
+            some = np.concatenate(some, axis=1) if some else np.zeros((2, 0), np.int64)
+            if not every and some.shape[1]:
+                some = some[:, [joined.unite(x, y) for x, y in zip(label[some[0]].tolist(), label[some[1]].tolist())]]
+                label = joined.roots(label)
+            if some.shape[1]:
+                found.append(np.stack([np.minimum(upper[some[0]], upper[some[1]]), np.maximum(upper[some[0]], upper[some[1]])]))
             d += 1
         return [np.unique(np.concatenate(found, axis=1), axis=1)] if found else []
 
     return rows.select("signature", "upper", "n", "label", "block", "split", "sketch").mapInArrow(run, "a long, b long").distinct()
 
 
+def open_rows(all_members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of groups that span several components, dealt and sorted for cross_pairs."""
+    told = all_members.join(labels.select("node", "label"), "node")
+    open_groups = told.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where(F.col("x") != F.col("y"))
+    # Groups of the same outermost components mostly repeat the same pairs, so they are dealt
+    # to one task, which tells the repeats; if they are many, to several.
+    weight = open_groups.groupBy("x", "y").agg((F.sum("size") / TOGETHER).cast("long").alias("shares"))
+    share = F.xxhash64("x", "y", F.pmod(F.xxhash64("signature"), F.col("shares") + 1))
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    dealt = open_groups.join(weight, ["x", "y"]).select("signature", blocks.alias("blocks"), share.alias("share"))
+    rows = all_members.join(dealt, "signature").join(labels, "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("upper"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("split", (F.col("block") != F.col("with")).cast("int")).withColumn("signature", F.when(F.col("blocks") == 1, F.col("signature")).otherwise(F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with"))))
+    return rows.repartition(F.when(F.col("blocks") == 1, F.col("share")).otherwise(F.col("signature"))).sortWithinPartitions("signature", "n", "upper")
+
+
 def near_join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     size = docs.select(F.length(utf8()).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
@@ -364,24 +440,22 @@ def near_join(docs: DataFrame) -> DataFrame:
     links = components(linked)
     discard(stars, linked)
 
-    labels = classes.join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("node", "upper", "n", "sketch", F.coalesce("label", "upper").alias("label"))
-    labels = stored(labels, "near-labels")
-    all_members = stored(members(groups).join(labels.select("node", "label"), "node"), "near-members")
-    open_groups = all_members.groupBy("signature").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("size")).where(F.col("x") != F.col("y"))
-    # Groups of the same outermost components mostly repeat the same pairs, so they are dealt
-    # to one task, which tells the repeats; if they are many, to several.
-    weight = open_groups.groupBy("x", "y").agg((F.sum("size") / TOGETHER).cast("long").alias("shares"))
-    share = F.xxhash64("x", "y", F.pmod(F.xxhash64("signature"), F.col("shares") + 1))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = open_groups.join(weight, ["x", "y"]).select("signature", blocks.alias("blocks"), share.alias("share"))
-    rows = all_members.select("signature", "node").join(dealt, "signature").join(labels, "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("upper"), F.col("blocks")).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("split", (F.col("block") != F.col("with")).cast("int")).withColumn("signature", F.when(F.col("blocks") == 1, F.col("signature")).otherwise(F.xxhash64("signature", F.least("block", "with"), F.greatest("block", "with"))))
-    possible = stored(cross_pairs(rows.repartition(F.when(F.col("blocks") == 1, F.col("share")).otherwise(F.col("signature"))).sortWithinPartitions("signature", "n")), "near-possible")
-    discard(groups, labels, all_members)
-    more = verified(possible, classes, docs)
-    first, links = links, components(links.unionByName(more))
-    discard(possible, more, first)
+    all_members = stored(members(groups), "near-members")
+    discard(groups)
+    for every in (False, True):
+        labels = classes.join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("node", "upper", "n", "sketch", F.coalesce("label", "upper").alias("label"))
+        labels = stored(labels, "near-labels")
+        possible = stored(cross_pairs(open_rows(all_members, labels), every), "near-possible")
+        more = verified(possible, classes, docs)
+        done = possible.count() == (found := more.count())
+        before = links
+        if found:
+            links = components(links.unionByName(more))
+            discard(before)
+        discard(labels, possible, more)
+        if done:
+            break
+    discard(all_members)
 
     joined = classes.select("upper", "rep").join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("upper", "rep", F.coalesce("label", "upper").alias("label"))
     least = joined.groupBy("label").agg(F.min("rep").alias("component_id"))

@@ -485,8 +485,40 @@ def test_signatures_are_shared_by_every_linked_pair():
                     b.add(random.getrandbits(64))
             common = len(a & b)
             if a != b and 100 * common >= 80 * len(a | b):
-                sig, whose = near_join.signatures([np.array(sorted(x), np.uint64) for x in (a, b)])
-                assert set(sig[whose == 0]) & set(sig[whose == 1]), (n, common)
+                sig, whose, flag = near_join.signatures([np.array(sorted(x), np.uint64) for x in (a, b)])
+                # What both keep after each has dropped the most frequent ones that it may.
+                size = {h: random.choice([2, 2, 3, 50, 1000]) for h in set(sig.tolist())}
+                kept = []
+                for i in (0, 1):
+                    left = set()
+                    for instance in (0, 1):
+                        mine = (whose == i) & (flag >> 7 == instance)
+                        ranked = sorted(sig[mine].tolist(), key=lambda h: (-size[h], h))
+                        left |= set(ranked[int(flag[mine][0] & 127) if mine.any() else 0 :])
+                    kept.append(left)
+                assert kept[0] & kept[1], (n, common)
+
+
+def test_plans_leave_a_subset_that_agrees():
+    for k in range(1, 400):
+        needed, spare, parts, out = near_join.plan(k)
+        # With `needed` partitions, k differences leave one of them at most `out`.
+        assert needed * (out + 1) > k and parts > out and spare >= 0
+
+
+def test_a_large_group_of_near_copies_is_one_component(spark):
+    """More links than members by far: proposals stay below the members' rows."""
+    random.seed(15)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(1500):
+        w = list(base)
+        for _ in range(random.choice([1, 2, 3])):
+            w[random.randrange(120)] = f"x{random.randrange(10**6)}"
+        rows.append((i, " ".join(w), "s"))
+    rows += [(2000 + i, " ".join([f"p{j}" for j in range(20)] + [f"y{i}_{j}" for j in range(20)]), "s") for i in range(300)]
+    docs = frame(spark, rows)
+    same([tuple(r) for r in near_join.near_join(docs).collect()], brute_components(rows))
 
 
 def test_components_of_a_long_chain(spark):
