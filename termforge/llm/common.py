@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many bytes of text are handled at once by the vectorised operators.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows of an Arrow batch that are turned into Python values at once.
 ROWS_AT_ONCE = 512
 
@@ -134,9 +134,9 @@ def part_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
     return ((hashes >> np.uint64(32)) * np.uint64(n_parts) >> np.uint64(32)).astype(np.int64)
 
 
-def by_part(n_parts: int, kind: str) -> Callable[[Iterable[tuple[np.ndarray, np.ndarray]]], Iterator[tuple]]:
+def by_part(n_parts: int, kind: str, width: int = 8) -> Callable[[Iterable[tuple[np.ndarray, np.ndarray]]], Iterator[tuple]]:
     """Turns pieces (hashes, values of the numpy type `kind`) into rows part, hashes, values
-    (binary), with the hashes of each row ascending."""
+    (binary), with the hashes of each row ascending and their lowest `width` bytes kept."""
 
     def out(pieces: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple]:
         held, size = [], 0
@@ -156,21 +156,21 @@ def by_part(n_parts: int, kind: str) -> Callable[[Iterable[tuple[np.ndarray, np.
         part = part_of(hashes, n_parts)
         cuts = [*np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])).tolist(), len(part)]
         for a, b in zip(cuts, cuts[1:]):
-            yield int(part[a]), hashes[a:b].tobytes(), values[a:b].tobytes()
+            yield int(part[a]), hashes[a:b].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), values[a:b].tobytes()
 
     return out
 
 
-def deal(df: DataFrame, pieces: Callable[[Iterator[tuple]], Iterable[tuple[np.ndarray, np.ndarray]]], n_parts: int, kind: str) -> DataFrame:
+def deal(df: DataFrame, pieces: Callable[[Iterator[tuple]], Iterable[tuple[np.ndarray, np.ndarray]]], n_parts: int, kind: str, width: int = 8) -> DataFrame:
     """part, hashes, values: records from `pieces` (called once a partition), dealt by hash.
 
     A row holds what a task has for a part. Beyond FAN parts tasks deal to FAN ranges of
     parts first, and each range is dealt to its parts after an exchange."""
     schema = "part int, hashes binary, values binary"
-    coarse = by_part(min(n_parts, FAN), kind)
+    coarse = by_part(min(n_parts, FAN), kind, width if n_parts <= FAN else 8)
     rows = map_rows(df, lambda tuples: coarse(pieces(tuples)), schema)
     if n_parts <= FAN:
         return rows
-    fine = by_part(n_parts, kind)
+    fine = by_part(n_parts, kind, width)
     again = lambda tuples: fine((np.frombuffer(h, "<u8"), np.frombuffer(v, kind)) for h, v in tuples)
     return map_rows(rows.repartition(F.col("part")).select("hashes", "values"), again, schema)

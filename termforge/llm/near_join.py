@@ -61,7 +61,7 @@ PARITIES, SKETCH, FINE_SKETCH = 1024, 64, 512
 #: Classes compared at once with each other; larger groups are compared block by block.
 BLOCK = 4096
 #: Pairs that a task holds to tell repeats, and rows of groups that are dealt together for that.
-HELD_PAIRS, TOGETHER = 2_000_000, 200_000
+HELD_PAIRS, TOGETHER = 2_000_000, 5_000
 #: Up to so many ids (8 bytes each) are broadcast to pick candidates' texts; beyond, a shuffled join does.
 MOST_IDS = 1_000_000
 _POWERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -201,10 +201,14 @@ def signature_groups(docs: DataFrame, n_parts: int) -> DataFrame:
     def group(pdf):
         import pandas as pd
 
-        sig = np.concatenate([np.frombuffer(x, "<u8") for x in pdf["hashes"]])
-        member = np.zeros((len(sig), 8), np.uint8)
-        member[:, :6] = np.frombuffer(b"".join(pdf["values"]), np.uint8).reshape(-1, 6)
-        member = member.view("<u8").ravel()  # the flag above the node
+        def wide(column: str) -> np.ndarray:
+            raw = np.frombuffer(b"".join(pdf[column]), np.uint8).reshape(-1, 6)
+            full = np.zeros((len(raw), 8), np.uint8)
+            full[:, :6] = raw
+            return full.view("<u8").ravel()
+
+        part = int(pdf["part"].iloc[0])
+        sig, member = wide("hashes") | np.uint64((part & 0xFFFF) << 48), wide("values")  # the part's number, the flag above the node
         order = np.lexsort((member & np.uint64((1 << 40) - 1), sig))
         sig, member = sig[order], member[order]
         fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (member[1:] != member[:-1])])
@@ -214,11 +218,11 @@ def signature_groups(docs: DataFrame, n_parts: int) -> DataFrame:
         size = np.repeat(size, size)
         keep = size > 1
         sig, member, size = sig[keep], member[keep], size[keep]
-        row = int(pdf["part"].iloc[0]), sig.tobytes(), (member & np.uint64((1 << 40) - 1)).tobytes(), (member >> np.uint64(40)).astype(np.uint8).tobytes(), size.astype("<i4").tobytes()
+        row = part, sig.tobytes(), (member & np.uint64((1 << 40) - 1)).tobytes(), (member >> np.uint64(40)).astype(np.uint8).tobytes(), size.astype("<i4").tobytes()
         give_back()
         return pd.DataFrame([row], columns=["part", "signatures", "nodes", "flags", "sizes"])
 
-    dealt = deal(docs.select(utf8()), pieces, n_parts, "V6")
+    dealt = deal(docs.select(utf8()), pieces, n_parts, "V6", 6)
     return dealt.groupBy("part").applyInPandas(group, "part int, signatures binary, nodes binary, flags binary, sizes binary")
 
 
@@ -442,19 +446,29 @@ def near_join(docs: DataFrame) -> DataFrame:
 
     all_members = stored(members(groups), "near-members")
     discard(groups)
+
+    def labelled(links: DataFrame) -> DataFrame:
+        told = classes.join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left")
+        return stored(told.select("node", "upper", "n", "sketch", F.coalesce("label", "upper").alias("label")), "near-labels")
+
+    labels, touched = labelled(links), None
     for every in (False, True):
-        labels = classes.join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("node", "upper", "n", "sketch", F.coalesce("label", "upper").alias("label"))
-        labels = stored(labels, "near-labels")
-        possible = stored(cross_pairs(open_rows(all_members, labels), every), "near-possible")
+        some = labels if touched is None else labels.join(touched, "label", "left_semi")
+        possible = stored(cross_pairs(open_rows(all_members, some), every), "near-possible")
         more = verified(possible, classes, docs)
-        done = possible.count() == (found := more.count())
-        before = links
+        found, old = more.count(), links
         if found:
             links = components(links.unionByName(more))
-            discard(before)
-        discard(labels, possible, more)
-        if done:
+            discard(old)
+        discard(labels)
+        if every or found == possible.count():
             break
+        # What a proposal that failed has kept apart: only these components can have links left.
+        labels = labelled(links)
+        side = lambda x: labels.select(F.col("upper").alias(x), F.col("label").alias(f"of_{x}"))
+        failed = possible.join(more, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where(F.col("of_a") != F.col("of_b"))
+        touched = stored(failed.select(F.explode(F.array("of_a", "of_b")).alias("label")).distinct(), "near-touched")
+        discard(possible, more)
     discard(all_members)
 
     joined = classes.select("upper", "rep").join(links.select(F.col("a").alias("upper"), F.col("b").alias("label")), "upper", "left").select("upper", "rep", F.coalesce("label", "upper").alias("label"))
