@@ -7,16 +7,21 @@ copied example, one that a single owner has is taken for a live credential of th
 scan() joins that verdict back; redact() cuts the live ones out of the texts.
 
 DataFrame functions only. Java's split gives the stretches between the matches that
-regexp_extract_all gives, so positions (code points, end exclusive) are running sums
-of lengths. A hot value is reduced to one row for each owner and repository before it
-is counted, and texts never meet a shuffle in scan().
+regexp_extract_all gives, so positions (code points, end exclusive, and bytes beside
+them) are running sums of lengths. These are made block by block, and a text is cut by
+bytes, so that work grows with a text's length however many matches it holds. A hot value
+is reduced to one row for each owner and repository before it is counted, and texts never
+meet a shuffle in scan().
 
 Null text is empty; null owners and repositories count as one unknown each. Repeated
-rows give repeated results. An empty table gives no rows; other columns are ignored.
+rows give repeated results. An empty table gives no rows; other columns are ignored by
+scan() and kept by redact(), whatever their names. redact() keeps null texts null, and
+takes a table without source as one of unknown owners.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -38,22 +43,51 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: From so many distinct owners on, a value is a copied example.
 COPIED_OWNERS = 3
-SPAN = "array<struct<begin:int,order:int,kind:string,end:int,value:string>>"
+SPAN = "array<struct<begin:int,order:int,kind:string,end:int,value:string,at:int,to:int>>"
+#: Values whose running sums are made at once.
+BLOCK = 128
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """For each value what join makes of 0 and those before it, and of all at the end."""
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
+    zero = F.lit(0)
+
+    def of_blocks(blocks: Column) -> Column:
+        sums = F.transform(blocks, lambda b: F.aggregate(b, zero, join))
+        starts = F.aggregate(sums, F.array(zero), grow)
+        within = lambda starts: F.transform(blocks, lambda b, i: F.slice(F.aggregate(b, F.array(F.element_at(starts, i + 1)), grow), 1, F.size(b)))
+        return _let(starts, lambda starts: F.concat(F.flatten(within(starts)), F.array(F.element_at(starts, -1))))
+
+    return _let(values, lambda v: _let(F.when(F.size(v) > 0, F.transform(F.sequence(F.lit(1), F.size(v), F.lit(BLOCK)), lambda i: F.slice(v, i, BLOCK))).otherwise(F.array().cast("array<array<int>>")), of_blocks))
 
 
 def _kind_spans(text: Column, order: int, kind: str, pattern: str, least: int, group: int) -> Column:
-    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    part = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), part.alias("part"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"))
+
+    def spans(pairs: Column) -> Column:
+        # Running sums of gaps and matches in turn: each match's begin and end.
+        sums = lambda measure: _running(F.flatten(F.transform(pairs, lambda x: F.array(measure(x["gap"]), F.coalesce(measure(x["whole"]), F.lit(0))))), lambda a, b: a + b)
+        place = F.struct(sums(F.length).alias("chars"), sums(F.octet_length).alias("bytes"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.coalesce(F.length(x["whole"]), F.lit(0))
-        span = F.struct(begin.alias("begin"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), end.alias("end"), x["part"].alias("value"))
-        return F.struct(end.alias("at"), F.when(F.length(x["part"]) >= least, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+        def span(place: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                # The match alone has the same groups: the patterns don't look around.
+                value = F.regexp_extract(x["whole"], pattern, group) if group else x["whole"]
+                chars, bytes_ = place["chars"], place["bytes"]
+                at = 2 * i + 2
+                return F.struct(F.element_at(chars, at).alias("begin"), F.lit(order).alias("order"), F.lit(kind).alias("kind"), F.element_at(chars, at + 1).alias("end"), value.alias("value"), F.element_at(bytes_, at).alias("at"), F.element_at(bytes_, at + 1).alias("to"))
 
-    return F.aggregate(pairs, start, step, lambda acc: acc["spans"])
+            return F.filter(F.transform(pairs, one), lambda s: F.length(s["value"]) >= least)
+
+        return _let(place, span)
+
+    return _let(pairs, spans).cast(SPAN)
 
 
 def candidate_spans(text: Column) -> Column:
@@ -92,7 +126,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     each = found.where(F.size("spans") > 0).select("_row", F.explode("spans").alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
     # A table of its own, so that the join meets plain shuffles, of which Spark splits a hot value's.
     known = each.join(stored(ownership(found), "secrets-owners"), "hash")
-    live = F.array_sort(F.collect_list(F.when(~F.col("copied"), F.struct("span.begin", "span.end"))))
+    live = F.array_sort(F.collect_list(F.when(~F.col("copied"), F.struct("span.at", "span.to"))))
     return known.groupBy("_row").agg(live.alias("live"), F.sum(F.col("copied").cast("long")).alias("n_copied"), F.max("owners").alias("most_owners"))
 
 
@@ -119,15 +153,20 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _cut(text: Column, live: Column, mark: str) -> Column:
-    """The text with each live span replaced; overlapping spans are replaced as one."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text without the live spans (at, to: bytes, ascending), each replaced by a mark;
+    overlapping spans are replaced as one."""
+
+    def pieces(raw: Column, done: Column) -> Column:
+        # done: how far the spans before each one reach.
+        def piece(s: Column, i: Column) -> Column:
+            before = F.element_at(done, i + 1)
+            return F.when(s["at"] >= before, F.concat(F.substring(raw, before + 1, s["at"] - before).cast("string"), F.lit(mark))).otherwise(F.lit(""))
 
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["begin"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["begin"] - acc["at"]), F.lit(mark))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        end = F.element_at(done, -1)
+        return F.concat(F.array_join(F.transform(live, piece), ""), F.substring(raw, end + 1, F.octet_length(raw) - end).cast("string"))
 
-    return F.aggregate(live, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(F.length(text) - acc["at"], F.lit(0)))))
+    done = _running(F.transform(live, lambda s: s["to"]), lambda a, b: F.greatest(a, b))
+    return _let(text.cast("binary"), lambda raw: _let(done, lambda done: pieces(raw, done)))
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -135,17 +174,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     Only documents that hold candidates go through the join; the rest pass as they are.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.withColumn("_spans", candidate_spans(text))
-    clean = marked.where(F.size("_spans") == 0).select(*[marked[c] for c in docs.columns])
-    held = stored(marked.where(F.size("_spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets-held")
-    found = held.select("_row", F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("repository"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("owner"), F.col("_spans").alias("spans"))
-    known = verdicts(found).select(F.col("_row").alias("_of"), F.col("live").alias("_live"))
-    joined = held.join(known, F.col("_row") == F.col("_of"), "left").withColumn("_cut", F.when(F.size("_live") > 0, _cut(F.col("text"), F.col("_live"), mark)).otherwise(F.col("text")))
-    put = {"text": F.col("_cut"), "n_chars": F.length("_cut").cast("long")}
-    return clean.unionByName(joined.select(*[put[c].cast(docs.schema[c].dataType).alias(c) if c in put else F.col(c) for c in docs.columns]))
-
-
+    own = F.struct(*docs.columns).alias("doc")
+    marked = docs.select(own, candidate_spans(F.coalesce(F.col("text"), F.lit(""))).alias("spans"))
+    clean = marked.where(F.size("spans") == 0).select("doc.*")
+    held = stored(marked.where(F.size("spans") > 0).withColumn("_row", F.monotonically_increasing_id()), "secrets-held")
+    owner = F.col("doc.source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    found = held.select("_row", F.coalesce(F.col("doc.doc_id").cast("string"), F.lit("")).alias("repository"), F.coalesce(owner, F.lit("")).alias("owner"), "spans")
+    known = verdicts(found).select(F.col("_row").alias("_of"), "live")
+    cut = F.when(F.size("live") > 0, _cut(F.col("doc.text"), F.col("live"), mark)).otherwise(F.col("doc.text"))
+    joined = held.join(known, F.col("_row") == F.col("_of"), "left").select("doc", cut.alias("cut"))
+    put = {"text": F.col("cut"), "n_chars": F.length("cut").cast("long")}
+    return clean.unionByName(joined.select(*[put[c].cast(docs.schema[c].dataType).alias(c) if c in put else F.col(f"doc.{c}") for c in docs.columns]))
 
 
 def _sql() -> str:
