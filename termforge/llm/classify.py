@@ -10,6 +10,8 @@ Null or empty text has the features of an empty text and is scored like any othe
 Null labels and labels of unknown documents are ignored; of several labels of one id
 the largest counts. A null id is not held out and never learned from. Without labels
 every quality score is the constant 0.5, and every toxicity score 0. Repeated rows give repeated scores.
+A text is scored as a whole however long it is, an empty table gives no rows, and columns besides
+doc_id and text (of labels: doc_id and the label) are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import gbt
-from .common import chunks, map_rows, utf8
+from .common import ROWS_AT_ONCE, chunks, give_back, map_rows, utf8
 from .tokens import Tokens
 
 SAMPLE_ROWS = 24_000
@@ -165,7 +167,7 @@ LEET = bytes.maketrans(b"013457@$!|", b"oieastasii")
 LETTERS = re.compile(r"[^\W\d_]+")
 PREFIXES = range(3, 9)
 #: A learned stem is in so many toxic documents at least, and so much likelier there.
-LEAST_DOCS, LEAST_ODDS, MOST_STEMS = 3, 4.0, 20_000
+LEAST_DOCS, LEAST_ODDS = 3, 4.0
 #: Words and stems that a task holds while it counts, before it starts anew or gives them out.
 HELD_WORDS, HELD_STEMS = 50_000, 300_000
 
@@ -210,16 +212,14 @@ def learn_lexicon(chosen: DataFrame) -> dict[str, float]:
     def count(y: float, wanted: set[str] | None, least: int) -> dict[str, int]:
         part = chosen.where((F.col("y") == y) & (F.col("part") < 0)).select("text")
         per = map_rows(part, counting(wanted), "stem string, docs long").groupBy("stem").agg(F.sum("docs").alias("docs"))
-        kept = per.where((F.col("docs") >= least) | (F.col("stem") == "")).orderBy(F.col("stem") != "", F.col("docs").desc(), "stem").limit(10 * MOST_STEMS)
-        return {r.stem: r.docs for r in kept.collect()}
+        return {r.stem: r.docs for r in per.where((F.col("docs") >= least) | (F.col("stem") == "")).collect()}
 
     toxic = count(1.0, None, LEAST_DOCS)
     n_toxic = toxic.pop("", 0)
     clean = count(0.0, set(toxic), 1) if toxic else {}
     n_clean = clean.pop("", 0)
     odds = {s: float(np.log((k + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(s, 0) + 0.5))) for s, k in toxic.items()}
-    strong = sorted((s for s, o in odds.items() if o >= np.log(LEAST_ODDS)), key=lambda s: (-toxic[s] * odds[s], s))[:MOST_STEMS]
-    return {s: odds[s] for s in strong}
+    return {s: o for s, o in odds.items() if o >= np.log(LEAST_ODDS)}
 
 
 class ToxicityFeatures:
@@ -228,6 +228,21 @@ class ToxicityFeatures:
     def __init__(self, lexicon: dict[str, float]):
         self.lexicon = lexicon
         self.insults, self.second = frozenset(INSULTS), frozenset(SECOND_PERSON)
+        self.memo: dict[bytes, tuple[float, float, float, float, float]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"memo": {}}
+
+    def known(self, w: bytes) -> tuple[float, float, float, float, float]:
+        """word(), remembered for up to HELD_WORDS short words."""
+        found = self.memo.get(w)
+        if found is None:
+            found = self.word(w)
+            if len(w) <= 24:
+                if len(self.memo) >= HELD_WORDS:
+                    self.memo.clear()
+                self.memo[w] = found
+        return found
 
     def word(self, w: bytes) -> tuple[float, float, float, float, float]:
         bare = _bare(w)
@@ -244,7 +259,7 @@ class ToxicityFeatures:
     def __call__(self, texts: list[bytes]) -> np.ndarray:
         tok = Tokens(texts)
         n = np.maximum(1, tok.lengths)
-        plain, odds, hidden, second, mixed = np.array([self.word(w) for w in tok.vocabulary] + [(0.0,) * 5]).T[:, tok.ids]
+        plain, odds, hidden, second, mixed = np.array([self.known(w) for w in tok.vocabulary] + [(0.0,) * 5]).T[:, tok.ids]
         hit = (plain > 0) | (hidden > 0) | (odds > 3)
         before = np.concatenate([[0.0], np.cumsum(second)])
         lo = np.maximum(np.arange(len(hit)) - 5, tok.offsets[:-1][tok.doc])
@@ -301,9 +316,11 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(t or "").encode("utf-8") for t in batch.column(at).to_pylist()]
-            scores = [model(features([t[1] for t in some])) for some in chunks(((None, t) for t in texts), 1)]
-            if scores:
-                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                texts = ((None, (t or "").encode("utf-8")) for t in part.column(at).to_pylist())
+                scores = np.concatenate([model(features([t for _, t in some])) for some in chunks(texts, 1)])
+                yield part.filter(pa.array(scores < threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
