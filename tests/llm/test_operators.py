@@ -280,29 +280,100 @@ def test_damaged_payloads_are_found(spark, tmp_path):
 # --- 6 media -------------------------------------------------------------------------
 
 
+def own_picture(data, row):
+    """A PGM picture made without the operator's code."""
+    height = max(1, (len(data) + row - 1) // row)
+    return "P5\n# {}\n{} {}\n255\n".format(len(data), row, height).encode() + data.ljust(height * row, b"\xff")
+
+
+def own_feature(samples, row=576):
+    """Histogram, mean, deviation and mean step between rows, in plain Python."""
+    steps = [sum(1 for x in samples if x // 16 == i) for i in range(16)]
+    mean = sum(samples) / len(samples)
+    deviation = math.sqrt(sum((x - mean) ** 2 for x in samples) / len(samples))
+    jumps = [abs(samples[i + row] - samples[i]) for i in range(len(samples) - row)]
+    return steps, mean, deviation, sum(jumps) / len(jumps) if jumps else 0.0
+
+
 def test_media_round_trip(spark, odd):
-    rows = [*odd, (8000, "y" * 576, "a"), (8001, "y" * 577, "a")]
-    expected = []
+    rows = [*odd, (8000, "y" * 576, "a"), (8001, "y" * 577, "a"), (8002, "one <b>\n\n two & three\nlast", "a")]
+    got = media.round_trip(frame(spark, rows)).collect()
+    expected, features = [], {}
     for k, t, _ in rows:
         data = (t or "").encode()
         payload = data + b"\xff" * (-len(data) % 576 if data else 576)
-        stored = media.encode_samples(data)
-        expected.append((k, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload)))
-    same([tuple(r)[:8] for r in media.round_trip(frame(spark, rows)).collect()], expected)
-
-
-def test_sequences_keep_order_positions_and_captions(spark):
-    page = '<html><head><title>no</title></head><body><p>one &amp; two<img src="sha256:aa" alt="A">three</p><script>x()</script><figure><img src="sha256:bb"><figcaption>the <b>b</b></figcaption></figure>end'
-    got = media.parse_sequence(spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id long, html string")).orderBy("page_id", "position").collect()
-    assert [tuple(r) for r in got] == [
-        (1, 0, "text", "one & two", None, None),
-        (1, 1, "media", None, "aa", "A"),
-        (1, 2, "text", "three", None, None),
-        (1, 3, "media", None, "bb", "the b"),
-        (1, 4, "text", "end", None, None),
-    ]
-    with pytest.raises(ValueError):
-        media.decode_samples(b"P5\n# 3\n576 1\n255\nabc")
+        stored = own_picture(data, 576)
+        expected.append((k, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(stored), hashlib.sha256(stored).hexdigest()))
+        features[hashlib.sha256(stored).hexdigest()] = payload
+    same([tuple(r)[:7] for r in got], expected)
+    for r in {r.media_sha256: r for r in got}.values():
+        if r.payload_bytes < 50_000:
+            steps, *rest = own_feature(features[r.media_sha256])
+            told, *others = r.feature.split(";")
+            assert told == ",".join(map(str, steps)) and all(abs(float(x) - y) < 1e-5 for x, y in zip(others, rest))
+    by_text = {}
+    for r in got:
+        by_text.setdefault(r.payload_sha256 + str(r.n_bytes), set()).add(repr(tuple(r)[1:]))
+    assert all(len(x) == 1 for x in by_text.values())  # equal texts, equal values
+    items = {r.doc_id: [(x.position, x.kind, x.text or x.caption) for x in r.sequence] for r in got}
+    assert items[8002] == [(0, "text", "one <b>"), (1, "media", "preview"), (2, "text", "last"), (3, "media", "picture of 26 bytes")]
+    assert items[7001] == [(0, "media", "preview"), (1, "media", "picture of 0 bytes")]
+    preview = next(r for r in got if r.doc_id == 8002).sequence[1]
+    data = rows[-1][1].encode()
+    small = own_picture(bytes(data[i * len(data) // 64] for i in range(64)), 8)
+    assert (preview.digest, preview.media_bytes) == (hashlib.sha256(small).hexdigest(), len(small))
+
+
+AA, BB, CC = ("sha256:" + c * 64 for c in "abc")
+
+
+@pytest.mark.parametrize(
+    "page, items",
+    [
+        (f'<html><head><title>no</title></head><body><p>one &amp; two<img src="{AA}" alt="A">three</p><script>x()</script><figure><img src="{BB}"><figcaption>the <b>b</b></figcaption></figure>end', ["one & two", ("a", "A"), "three", ("b", "the b"), "end"]),
+        # The caption first, one outside any figure, and a second one.
+        (f'<figure><figcaption>first</figcaption><img src="{AA}"></figure>', [("a", "first")]),
+        (f'<img src="{AA}" alt="A"><figcaption>stray</figcaption><img src="{BB}">', [("a", "A"), "stray", ("b", None)]),
+        (f'<figure><img src="{AA}"><figcaption>one</figcaption><figcaption>two</figcaption></figure>', [("a", "one"), "two"]),
+        # Figures within figures, and media of one figure after another.
+        (f'<figure><img src="{AA}"><figure><img src="{BB}"><figcaption>in</figcaption></figure><img src="{CC}"><figcaption>out</figcaption></figure>', [("a", "out"), ("b", "in"), ("c", "out")]),
+        (f'<figure><figure><img src="{AA}"></figure><figcaption>out</figcaption></figure><img src="{BB}">', [("a", "out"), ("b", None)]),
+        # What is never closed, and what is silent.
+        (f'<head><title>no</title><meta charset="utf-8"><p>text<img src="{AA}">', ["text", ("a", None)]),
+        (f'<figure><img src="{AA}"><figcaption>open', [("a", "open")]),
+        (f'<template><img src="{AA}">no</template><style>no</style>yes', ["yes"]),
+        # Sources of a video, media without a src, and other addresses.
+        (f'<video><source src="{AA}"><source src="{BB}"></video><video src="{CC}"><source src="{BB}"></video>', [("a", None), ("c", None)]),
+        (f'<img alt="none"><audio></audio><source src="{AA}"><img src="https://x/y.png"><img src="{AA.upper()}">', [(None, None), (None, None)]),
+        ("", []),
+        (None, []),
+    ],
+)
+def test_sequences_keep_order_positions_and_captions(spark, page, items):
+    got = [tuple(r) for r in media.parse_sequence(spark.createDataFrame([(1, page, "clash")], "page_id long, html string, position string"), "page_id").orderBy("position").collect()]
+    expected = [(1, i, "text", x, None, None) if isinstance(x, str) else (1, i, "media", None, x[0] and x[0] * 64, x[1]) for i, x in enumerate(items)]
+    assert [r[:5] + r[6:] for r in got] == expected
+
+
+def test_real_pages_and_references_that_the_store_lacks(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    items = media.parse_sequence(pages)
+    rows = items.collect()
+    assert len({r.page_id for r in rows}) == pages.count() and any(r.kind == "text" and len(r.text) > 40 for r in rows)
+    for page in {r.page_id for r in rows}:
+        assert sorted(r.position for r in rows if r.page_id == page) == list(range(sum(r.page_id == page for r in rows)))
+    data = media.encode_samples(b"abc")
+    digest = hashlib.sha256(data).hexdigest()
+    store = spark.createDataFrame([([(digest, data)],), ([(digest, data)],)], "media array<struct<digest:string,media:binary>>")
+    told = spark.createDataFrame([(1, f'<img src="sha256:{digest}"><img src="{AA}"><img src="/x.png">')], "page_id long, html string")
+    got = media.resolve(media.parse_sequence(told), media.describe_store(store)).orderBy("position").collect()
+    assert [r.facts and r.facts.media_bytes for r in got] == [len(data), None, None]
+    bad = spark.createDataFrame([([(digest, b"other")],)], "media array<struct<digest:string,media:binary>>")
+    with pytest.raises(Exception, match="does not match its digest"):
+        media.describe_store(bad)
+    for broken in (b"P5\n# 3\n576 1\n255\nabc", b"", b"P5\n# 9\n2 1\n255\nab"):
+        with pytest.raises(ValueError):
+            media.decode_samples(broken)
 
 
 # --- 7 secrets -----------------------------------------------------------------------
@@ -343,6 +414,19 @@ def test_copied_examples_stay_and_live_ones_go(spark):
     assert got[10] == ("my [SECRET] ok", 14) and got[0][0] == rows[0][1] and got[12][0] is None and got[13][0] == "plain"
 
 
+def test_texts_full_of_matches_take_time_in_proportion(spark):
+    """300,000 matches in 10 MB, with characters of several bytes and overlapping spans."""
+    random.seed(21)
+    found = ["%032x" % random.getrandbits(128) for _ in range(300_000)]
+    text = "é ".join(found) + " password=" + "ab12" * 8 + " é"
+    docs = frame(spark, [(1, text, "a"), (2, None, "b")], 1)
+    r = {r.doc_id: r for r in secrets.scan(docs).collect()}[1]
+    told = ",".join(f"{kind}:{a}:{b}" for a, _, kind, b in base_spans(text))
+    assert (r.n_hex, r.n_assign, r.base_sha256) == (300_001, 1, hashlib.sha256(told.encode()).hexdigest())
+    cut = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert cut[1] == "é ".join(["[SECRET]"] * 300_000) + " [SECRET] é" and cut[2] is None
+
+
 # --- 8 and 9 classifiers -------------------------------------------------------------
 
 
@@ -390,6 +474,24 @@ def test_classifiers_generalise(spark, odd, labelled, run, label, at):
     assert held and sum(r.predicted == truth[r.doc_id] for r in held) >= 0.95 * len(held)
 
 
+def test_toxic_words_are_learned(spark):
+    """None of the telling words is in the built-in lists."""
+    random.seed(19)
+    voc, bad = [f"wort{i}" for i in range(300)], [f"grumbler{c}" for c in "aeiou"]
+    rows, labels = [], []
+    for i in range(900):
+        w = random.choices(voc, k=random.randint(20, 80))
+        if i % 6 == 1:
+            w[random.randrange(20)], w[random.randrange(20)] = random.choices(bad, k=2)
+        rows.append((i, " ".join(w), "s"))
+        labels.append((i, 1, int(i % 6 == 1)))
+    assert not set(bad) & set(classify.INSULTS)
+    got = classify.toxicity(frame(spark, rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    assert sum(r.predicted and r.doc_id % 6 == 1 for r in held) >= 0.95 * sum(r.doc_id % 6 == 1 for r in held) > 10
+    assert sum(r.predicted and r.doc_id % 6 != 1 for r in held) <= 0.03 * len(held)
+
+
 def test_held_out_labels_change_nothing(spark, labelled):
     rows, labels = labelled
     turned = [(i, q, 1 - t) if i is not None and t is not None and zlib.crc32(str(i).encode()) % 5 == 0 else (i, q, t) for i, q, t in labels]
