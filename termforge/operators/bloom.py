@@ -5,16 +5,19 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 32_768
+LEAST_RATE = 1e-9
 
 
 def optimal_params(n: int, p: float) -> tuple[int, int]:
-    """Bits and hash functions for n members at a false positive rate of p."""
-    if n <= 0 or not 0 < p < 1:
+    """Bits and hash functions for n members at a false positive rate of p, which is kept
+    between LEAST_RATE and 1 - LEAST_RATE."""
+    if n <= 0:
         return 8, 1
+    p = min(max(p, LEAST_RATE), 1 - LEAST_RATE)
     m = math.ceil(-n * math.log(p) / math.log(2) ** 2)
     return m, math.ceil(math.log(2) * m / n)
 
@@ -52,3 +55,14 @@ class BloomFilter:
         bit = F.expr("shiftright(cast(conv(hex(byte), 16, 10) as int), cast(place % 8 as int)) & 1")
         seen = probes.join(self.bits, "bucket", "left").withColumn("byte", byte).withColumn("bit", F.coalesce(bit, F.lit(0)))
         return seen.groupBy("key").agg((F.min("bit") == 1).alias("may_hold"))
+
+    def save(self, path: str, mode: str = "errorifexists") -> None:
+        """The filter's rows, each with m and k."""
+        self.bits.select("bucket", "bits", F.lit(self.m).cast("long").alias("m"), F.lit(self.k).alias("k")).write.mode(mode).parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> BloomFilter:
+        """The filter that was saved; one without rows held nothing."""
+        rows = spark.read.parquet(path)
+        size = rows.select("m", "k").first()
+        return cls(*(size or (8, 1)), rows.select("bucket", "bits"))

@@ -41,13 +41,20 @@ class DocSet:
         """One row, ids: ascending. The set must fit a row; rows is the form without that bound."""
         return self.rows.agg(F.sort_array(F.collect_list("doc_id")).alias("ids"))
 
+    def ascending(self) -> DataFrame:
+        """doc_id in order."""
+        return self.rows.orderBy("doc_id")
+
     def bitmaps(self) -> DataFrame:
         """bucket, bits. Bucket 0 holds id 0 alone; bucket b > 0 the ids (b - 1) * 32768 + 1 to b * 32768."""
         return self.rows.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("doc_id")).alias("bits"))
 
     @classmethod
     def from_bitmaps(cls, bitmaps: DataFrame) -> DocSet:
-        """The ids of bucket, bits; bit p of byte b is bit 8 b + p, least significant first."""
+        """The ids of bucket, bits; bit p of byte b is bit 8 b + p, least significant first.
+        Rows without a bucket or of another length than 4096 bytes are an error."""
+        sound = (F.length("bits") == BUCKET_BITS // 8) & F.col("bucket").isNotNull()
+        bitmaps = bitmaps.select("bucket", F.when(sound, F.col("bits")).otherwise(F.raise_error(F.lit("damaged bitmap"))).alias("bits"))
         byte = bitmaps.select("bucket", F.posexplode(F.sequence(F.lit(0), F.length("bits") - 1)).alias("at", "byte"), "bits")
         value = F.conv(F.hex(F.substring("bits", F.col("byte") + 1, F.lit(1))), 16, 10).cast("int")
         some = byte.select("bucket", "byte", value.alias("value")).where(F.col("value") > 0)
