@@ -77,8 +77,16 @@ def tokens(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> D
 
 
 def snippet(text: Column, most: int = 72) -> Column:
-    """The first 72 bytes of a text, with an ellipsis if there are more."""
-    cut = F.decode(F.substring(F.encode(text, "utf-8"), 1, most), "utf-8")
-    return F.when(F.octet_length(text) > most, F.concat(cut, F.lit("…"))).otherwise(text)
-
-
+    """The first 72 bytes of a text, less those of a character that the cut would split,
+    with an ellipsis if there are more. Null text has no snippet."""
+    whole = F.encode(text, "utf-8")
+    # UTF-8 characters have four bytes at most; the byte after a whole one isn't 10xxxxxx.
+    splits = lambda n: F.conv(F.hex(F.substring(whole, n + 1, 1)), 16, 10).cast("int").between(0x80, 0xBF)
+    end = F.coalesce(*[F.when(~splits(n), F.lit(n)) for n in range(most, max(-1, most - 4), -1)], F.lit(0))
+    return F.when(F.octet_length(text) > most, F.concat(F.decode(F.substring(whole, F.lit(1), end), "utf-8"), F.lit("…"))).otherwise(text)
+
+
+def show_hits(hits: DataFrame, documents: DataFrame, rows: int = 20) -> None:
+    """Print hits (doc_id, and score if there is one) with their snippets, best first or by id."""
+    by = [F.desc("score"), F.col("doc_id")] if "score" in hits.columns else [F.col("doc_id")]
+    hits.join(documents.select("doc_id", snippet(F.col("text")).alias("snippet")), "doc_id").orderBy(*by).show(rows, truncate=False)

@@ -78,10 +78,10 @@ class TextIndex:
         return TextIndex(self.occurrences.unionByName(other.occurrences), self.universe.unionByName(other.universe).distinct(), self.config)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """postings/ and documents/. One shuffle, by term and document block: a frequent
-        term is spread over its blocks, and the lists are grouped where they arrive; each
-        file is sorted by term, so a lookup reads one row group of it."""
-        blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).repartition("term", "block_id")
+        """postings/ and documents/. One shuffle, by ranges of term and document block: a
+        frequent term is spread over its blocks, and a lookup opens only the files whose
+        range of terms holds it, and reads one row group of each."""
+        blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).repartitionByRange("term", "block_id")
         lists = blocks.groupBy("term", "block_id", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
         rows = lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "block_id")
         rows.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")

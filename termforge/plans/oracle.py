@@ -2,19 +2,33 @@
 
 from __future__ import annotations
 
-from ..functions.stopwords import ENGLISH
+from .oracle_stems import stems
 
-_STOPS = ", ".join(f"'{w}'" for w in ENGLISH)
-TOKENS = rf"""raw AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) - 1 AS pos
-  FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{Nd}}\-]+') AS toks FROM documents)),
-tk AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, lower(t) AS term FROM raw WHERE strlen(lower(t)) >= 2 AND lower(t) NOT IN ({_STOPS})),
+# The stop lists, stated apart from the library's.
+ENGLISH_STOPS = "a an the and or not is are was were be been have has had do does did will would could should may to of in for on with at by from as it its this that i you he she we they me him her us them my your his our their"
+RUSSIAN_STOPS = "и в во не что он на я с как а то она так его но да ты к у же вы за бы по только ее от это о из ему когда или ни быть был до вас уже там где для мы их чем была без раз тоже под будет кто этот при об про всё нас"
+
+
+def tokens(stops: str = ENGLISH_STOPS, source: str = "documents", stemmed: bool = False) -> str:
+    """CTEs for tokens (tk), postings, df and N; a term is stemmed after stop words went."""
+    left = ", ".join(f"'{w}'" for w in stops.split())
+    lowered = f"low AS (SELECT doc_id, CAST(pos AS INTEGER) AS pos, lower(t) AS t FROM raw WHERE strlen(lower(t)) >= 2 AND lower(t) NOT IN ({left}))"
+    kept = f"{stems('low')}, tk AS (SELECT DISTINCT doc_id, pos, stem AS term FROM low JOIN stems USING (t))" if stemmed else "tk AS (SELECT DISTINCT doc_id, pos, t AS term FROM low)"
+    return rf"""raw AS (SELECT doc_id, unnest(toks) AS t, generate_subscripts(toks, 1) - 1 AS pos
+  FROM (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{Nd}}\-]+') AS toks FROM {source})),
+{lowered}, {kept},
 post AS (SELECT term, doc_id, count(*) AS tf, min(pos) AS first_pos, max(pos) AS last_pos FROM tk GROUP BY ALL),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
 n AS (SELECT count(DISTINCT doc_id) AS n FROM documents)"""
 
 
-def with_tokens(select: str, more: str = "") -> str:
-    return f"WITH {TOKENS}{', ' + more if more else ''} {select}"
+TOKENS = tokens()
+STEMMED = tokens(stemmed=True)
+TWICE = tokens(source="(SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, substr(text, 11) FROM documents)")
+
+
+def with_tokens(select: str, more: str = "", base: str = TOKENS) -> str:
+    return f"WITH {base}{', ' + more if more else ''} {select}"
 
 
 def having(term: str) -> str:
@@ -42,9 +56,9 @@ def cells(times: dict[str, int]) -> str:
 cell AS (SELECT doc_id, times, ln(n / df) AS idf, (1 + ln(tf)) * ln(n / df) AS w FROM post JOIN q USING (term) JOIN dfs USING (term), n)"""
 
 
-def tfidf(docs: str, times: dict[str, int], k: int = 0) -> str:
+def tfidf(docs: str, times: dict[str, int], k: int = 0, base: str = TOKENS) -> str:
     more = f"""{cells(times)}, s AS (SELECT doc_id, sum(times * w) AS x FROM cell GROUP BY doc_id HAVING sum(times * w) > 0)"""
-    return with_tokens(f"SELECT doc_id, round(x, 6) AS score FROM s WHERE doc_id IN (SELECT doc_id FROM ({docs})) ORDER BY score DESC, doc_id{f' LIMIT {k}' if k else ''}", more)
+    return with_tokens(f"SELECT doc_id, round(x, 6) AS score FROM s WHERE doc_id IN (SELECT doc_id FROM ({docs})) ORDER BY score DESC, doc_id{f' LIMIT {k}' if k else ''}", more, base)
 
 
 def vsm(docs: str, times: dict[str, int]) -> str:
@@ -81,14 +95,37 @@ LIVE = "SELECT key, value FROM top WHERE NOT dead"
 _DOCS_AND = f"({having('thing')}) INTERSECT ({having('thtion')})"
 _DOCS_OR = f"({having('thing')}) UNION ({having('attion')})"
 
+POSTINGS = "SELECT doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tk WHERE term = 'thing' GROUP BY doc_id"
+RANGE = f"{LIVE} AND key >= 'user_00000010' AND key < 'user_00000060' ORDER BY key LIMIT 100"
+
 ORACLE_SQL: dict[str, str] = {
     "analyze_tokens": with_tokens("SELECT doc_id, pos, term FROM tk"),
-    "document_snippets": "SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, substr(text, 1, 72) AS begin FROM documents",
+    "analyze_tokens_english": with_tokens("SELECT doc_id, pos, term FROM tk", base=STEMMED),
+    "analyze_tokens_russian": with_tokens("SELECT doc_id, pos, term FROM tk", base=tokens(RUSSIAN_STOPS)),
+    "stemmed_bool_and": with_tokens(f"({having('thing')}) INTERSECT ({having('thtion')})", base=STEMMED),
+    "stemmed_rank_tfidf": tfidf(ALL, {"thing": 1, "attion": 1, "ere": 1}, 10, STEMMED),
+    "stemmed_phrase": with_tokens(phrase(("erin", 0), ("thanea", 1)), base=STEMMED),
+    "document_snippets": """SELECT doc_id, CAST(strlen(text) AS BIGINT) AS n_bytes, CASE WHEN strlen(text) <= 72 THEN text
+  ELSE substr(text, 1, CAST(list_max(list_filter(range(0, 73), lambda n: strlen(substr(text, 1, CAST(n AS BIGINT))) <= 72)) AS BIGINT)) || '…' END AS snippet FROM documents""",
     "index_postings": with_tokens("SELECT term, doc_id, tf, CAST(first_pos AS BIGINT) AS first_pos, CAST(last_pos AS BIGINT) AS last_pos FROM post"),
     "term_df": with_tokens("SELECT term, df FROM dfs"),
     "corpus_size": "SELECT count(DISTINCT doc_id) AS n FROM documents",
     "universe": ALL,
-    "lookup_postings": with_tokens("SELECT doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM tk WHERE term = 'thing' GROUP BY doc_id"),
+    "lookup_postings": with_tokens(POSTINGS),
+    "merged_postings": with_tokens(POSTINGS, base=TWICE),
+    "merged_term_df": with_tokens("SELECT term, df FROM dfs", base=TWICE),
+    "saved_bool_nested": with_tokens(NESTED),
+    "saved_phrase": with_tokens(phrase(("eriner", 0), ("thanea", 1))),
+    "saved_rank_tfidf": tfidf(NESTED, {"thing": 1, "attion": 1, "ering": 1}),
+    "saved_rank_vsm": vsm(NESTED, {"thing": 1, "attion": 1, "ering": 1}),
+    "saved_tiered_search": tiered(60),
+    "champions_tier2": champions(10_000),
+    "kv_flushed_get": with_log(f"{LIVE} AND key = 'user_00000012'"),
+    "kv_flushed_range_scan": with_log(RANGE),
+    "kv_flushed_bounds": with_log("SELECT min(key) AS least, max(key) AS greatest FROM log"),
+    "kv_leveled": with_log(LIVE),
+    "kv_leveled_range_scan": with_log(RANGE),
+    "bloom_saved": "SELECT count(DISTINCT event_id) AS members, CAST(0 AS BIGINT) AS missed, true AS rate_met FROM events",
     "term_exact": with_tokens(having("thing")),
     "term_prefix": with_tokens(starting("thing")),
     "term_prefix_ther": with_tokens(starting("ther")),
@@ -122,7 +159,7 @@ ORACLE_SQL: dict[str, str] = {
     "docset_round_trip": with_tokens(having("thing")),
     "kv_latest": with_log(LIVE),
     "kv_get": with_log(f"{LIVE} AND key = 'user_00000012'"),
-    "kv_range_scan": with_log(f"{LIVE} AND key >= 'user_00000010' AND key < 'user_00000060' ORDER BY key LIMIT 100"),
+    "kv_range_scan": with_log(RANGE),
     "kv_range_scan_open": with_log(f"{LIVE} AND key >= 'user_00000100' ORDER BY key LIMIT 20"),
     "kv_put": with_log("SELECT key, CASE WHEN key LIKE '%7' THEN -1.0::DOUBLE ELSE value END AS value FROM top WHERE NOT dead OR key LIKE '%7'"),
     "kv_delete": with_log(f"{LIVE} AND key > 'user_00000050'"),

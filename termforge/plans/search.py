@@ -11,11 +11,11 @@ from ..functions.analysis import AnalyzerConfig, snippet, tokens
 from ..operators.bloom import BloomFilter, optimal_params
 from ..operators.docset import DocSet, bitmap_and, bitmap_cardinality, bitmap_or
 from ..operators.index import TextIndex
-from ..operators.kvlog import KeyValueLog
+from ..operators.kvlog import KeyValueLog, LeveledStore
 from ..operators.phrase import phrase_docs
 from ..operators.query import And, Expr, Not, Or, Phrase, Term, run_query
 from ..operators.ranking import TIERS, champions, rank_tfidf, rank_vsm, tiered_search
-from ..sources.tables import event_log, read_table, spread
+from ..sources.tables import event_log, read_table, scratch, spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 PLAIN = AnalyzerConfig("none")
@@ -60,7 +60,7 @@ def analyze_tokens_english(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.substring("text", 1, 72).alias("begin"))
+    return read_table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), snippet(F.col("text")).alias("snippet"))
 
 
 def ranked(search: Callable, expr: Expr, queries: list[str], k: int = 0) -> Query:
@@ -132,6 +132,73 @@ def bloom_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.check(events, "user_id").agg(F.count(F.lit(1)).alias("members"), F.count(F.when(~F.col("may_hold"), 1)).alias("missed"))
 
 
+def saved(make: Callable[[TextIndex], DataFrame], config: AnalyzerConfig = PLAIN) -> Query:
+    """A query of an index that was saved and opened again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "index")
+        index_of(spark, sf_dir, config).save(path)
+        return make(TextIndex.load(spark, path, config))
+
+    return run
+
+
+def merged_batches(make: Callable[[TextIndex], DataFrame]) -> Query:
+    """A query of an index saved in two batches, the second of which indexes every document
+    a second time from its eleventh character on; positions of both are united."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, docs = scratch(spark, "index"), read_table(spark, sf_dir, "documents")
+        for text in (F.col("text"), F.expr("substr(text, 11)")):
+            TextIndex.build(spread(docs.select("doc_id", text.alias("text"))), PLAIN).save(path, "append")
+        return make(TextIndex.load(spark, path, PLAIN))
+
+    return run
+
+
+def shown_postings(index: TextIndex) -> DataFrame:
+    return index.lookup_postings("thing").select("doc_id", F.size("positions").cast("long").alias("tf"), F.array_join("positions", ",").alias("positions"))
+
+
+def flushed(make: Callable[[KeyValueLog], DataFrame]) -> Query:
+    """A query of a log that was written in key order and opened again."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path = scratch(spark, "log")
+        log_of(spark, sf_dir).flush(path)
+        return make(KeyValueLog.open(spark, path))
+
+    return run
+
+
+def leveled(make: Callable[[KeyValueLog], DataFrame], batches: int = LeveledStore.LIMIT + 2, merge=None) -> Query:
+    """A query of a store to which the events came in batches, by time; the tenth one sets
+    off a compaction."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        events = read_table(spark, sf_dir, "events")
+        least, most = events.agg(F.min("event_id"), F.max("event_id")).first()
+        store = LeveledStore(spark, scratch(spark, "store"), merge)
+        number = F.floor((F.col("event_id") - least) * batches / (most - least + 1))
+        for i in range(batches):
+            store.flush(KeyValueLog(event_log(events.where(number == i))))
+        return make(store.log())
+
+    return run
+
+
+def bloom_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored filter's members, those that it misses (none), and whether it takes at most
+    three times the rate that it was made for of as many others for members."""
+    path, events = scratch(spark, "bloom"), read_table(spark, sf_dir, "events").select(F.col("event_id").alias("id"))
+    BloomFilter(*optimal_params(events.count(), 0.01)).build(events, "id").save(path)
+    others = events.select((-F.col("id") - 1).alias("id"))
+    told = BloomFilter.load(spark, path).check(events.unionByName(others), "id")
+    member = F.col("key") >= 0
+    return told.agg(F.count(F.when(member, 1)).alias("members"), F.count(F.when(member & ~F.col("may_hold"), 1)).alias("missed"), (F.avg(F.when(~member, F.col("may_hold").cast("int"))) <= 0.03).alias("rate_met"))
+
+
+ENGLISH = AnalyzerConfig("english")
 QUERIES: dict[str, Query] = {
     "analyze_tokens": analyze_tokens,
     "analyze_tokens_english": analyze_tokens_english,
@@ -182,6 +249,22 @@ QUERIES: dict[str, Query] = {
     "kv_compact": over_log(lambda log: log.compact().versions.select("key", "value", "seq")),
     "kv_bounds": over_log(KeyValueLog.bounds),
     "bloom_members": bloom_members,
-    "stemmed_bool_and": boolean(And(Term("things"), Term("thtion")), AnalyzerConfig("english")),
-    "stemmed_rank_tfidf": over_index(lambda index: rank_tfidf(index, index.universe, RANKED, 10), AnalyzerConfig("english")),
+    "stemmed_bool_and": boolean(And(Term("things"), Term("thtion")), ENGLISH),
+    "stemmed_rank_tfidf": over_index(lambda index: rank_tfidf(index, index.universe, RANKED, 10), ENGLISH),
+    "stemmed_phrase": phrase("eriner", "thanea", config=ENGLISH),
+    "analyze_tokens_russian": lambda spark, sf_dir: tokens(read_table(spark, sf_dir, "documents"), AnalyzerConfig("russian")),
+    "saved_bool_nested": saved(lambda index: run_query(index, NESTED)),
+    "saved_phrase": saved(lambda index: phrase_docs(index, "eriner", "thanea")),
+    "saved_rank_tfidf": saved(lambda index: rank_tfidf(index, run_query(index, NESTED), RANKED)),
+    "saved_rank_vsm": saved(lambda index: rank_vsm(index, run_query(index, NESTED), RANKED)),
+    "saved_tiered_search": saved(lambda index: tiered_search(index, 60, 5, *RANKED)),
+    "merged_postings": merged_batches(shown_postings),
+    "merged_term_df": merged_batches(TextIndex.term_stats),
+    "champions_tier2": champion_tier(TIERS[2]),
+    "kv_flushed_get": flushed(lambda log: log.get("user_00000012")),
+    "kv_flushed_range_scan": flushed(lambda log: log.range_scan("user_00000010", "user_00000060")),
+    "kv_flushed_bounds": flushed(KeyValueLog.bounds),
+    "kv_leveled": leveled(KeyValueLog.live),
+    "kv_leveled_range_scan": leveled(lambda log: log.range_scan("user_00000010", "user_00000060")),
+    "bloom_saved": bloom_saved,
 }

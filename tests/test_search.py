@@ -5,7 +5,7 @@ import pytest
 from demo_corpus import CORPUS
 from pyspark.sql import functions as F
 
-from termforge.functions.analysis import AnalyzerConfig, analyze, snippet, tokens
+from termforge.functions.analysis import AnalyzerConfig, analyze, show_hits, snippet, tokens
 from termforge.operators.index import TextIndex
 from termforge.operators.phrase import phrase_docs, plan_phrase
 from termforge.operators.query import And, Not, Or, Phrase, Term, run_query
@@ -169,8 +169,21 @@ def test_saved_index_and_merge(spark, demo, tmp_path):
 
 
 def test_snippet(spark):
-    got = spark.createDataFrame([("x" * 80,), ("short",)], "t string").select(snippet(F.col("t")).alias("s")).collect()
-    assert [r.s for r in got] == ["x" * 72 + "…", "short"]
+    texts = ["x" * 80, "short", None, "", "x" * 72, "x" * 71 + "é!", "x" * 70 + "漢字", "x" * 69 + "😀😀", "é" * 37, "a" + "漢" * 30, "x" * 71 + "y" + "漢"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(snippet(F.col("t")).alias("s")).collect()
+    expected = []
+    for t in texts:
+        data = (t or "").encode()
+        expected.append(t if len(data) <= 72 else data[:72].decode("utf-8", "ignore") + "…")
+    assert [r.s for r in got] == expected and expected[0] == "x" * 72 + "…"
+
+
+def test_hits_are_printed_with_snippets(spark, demo, capsys):
+    index = TextIndex.build(demo, PLAIN)
+    show_hits(phrase_docs(index, "write", "ahead", "log"), demo)
+    show_hits(rank_tfidf(index, index.universe, ["roaring"], 2), demo)
+    shown = capsys.readouterr().out
+    assert "|25 " in shown and "score" in shown
 
 
 def test_streamed_documents_are_found(spark, tmp_path):
