@@ -3,15 +3,20 @@ record headers apart, original records rebuilt by a join.
 
 write_archive() gives two Parquet tables in one folder: payloads(sha256, payload),
 one row for each distinct payload, and headers(page_id, sha256, header), one row for
-each record with the header block exactly as a WARC 1.1 file would hold it. Of
-records with equal payloads of at least min_bytes, the one with the largest id is
-the response and the others are revisits that refer to it; smaller payloads are all
-responses. read_records() verifies every payload against its key, and fails on a
-mismatch; reconstruct() joins headers and payloads into whole records again.
+each record with all that a WARC 1.1 file would hold before the payload: the record's
+header block and the head of its HTTP response. Of records with equal payloads of at least
+min_bytes, the one with the largest id is the response and the others are revisits that
+refer to its record id and end with their HTTP head; smaller payloads are all responses.
+
+read_records() verifies every payload against its key, every header's digest and length
+against the payload, and finds what a revisit refers to by its WARC-Refers-To; any
+mismatch fails. reconstruct() joins headers and payloads into whole records again.
 
 Null html is an empty payload; a null url leaves the target empty; a null id sorts
 below every other (a payload that only has null ids is all responses). Repeated rows
-each give a record; those that share the largest id are all responses.
+each give a record with an id of its own; those that share the largest page_id are all
+responses. A payload is one value however long it is. An empty table gives an empty
+archive, and columns besides page_id, url and html are ignored.
 """
 
 from __future__ import annotations
@@ -37,8 +42,9 @@ def base32_sha1(payload: Column) -> Column:
     return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
 
 
-def record_id(page_id: Column, url: Column) -> Column:
-    h = F.md5(F.concat_ws("\x1f", F.coalesce(page_id.cast("string"), F.lit("")), F.coalesce(url, F.lit(""))).cast("binary"))
+def record_id(*of: Column) -> Column:
+    """A UUID of what tells the record apart."""
+    h = F.md5(F.concat_ws("\x1f", *[F.coalesce(c.cast("string"), F.lit("")) for c in of]).cast("binary"))
     return F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] if i else []) + [F.substring(h, a, n)]], F.lit(">"))
 
 
@@ -49,23 +55,29 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
         raw.groupBy("sha256").agg(F.max("payload").alias("payload"))  # equal under one digest; checked again on reading
         .write.option("compression", "zstd").parquet(f"{path}/payloads")
     )
-    slim = raw.select("page_id", "url", "sha256", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"))
-    # A table of its own, so that the join meets plain shuffles, of which Spark splits a hot payload's.
-    keepers = stored(slim.where(F.col("size") >= min_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "url")).alias("keeper")), "warc-keepers")
+    # Tables of their own: rows keep their numbers, texts are hashed once more only, and the
+    # join meets plain shuffles, of which Spark splits a hot payload's.
+    slim = raw.select("page_id", "url", "sha256", F.length("payload").cast("long").alias("size"), base32_sha1(F.col("payload")).alias("sha1"), F.monotonically_increasing_id().alias("row"))
+    slim = stored(slim.withColumn("id", record_id(F.col("page_id"), F.col("url"), F.col("row"))).drop("row"), "warc-slim")
+    keepers = stored(slim.where(F.col("size") >= min_bytes).groupBy("sha256").agg(F.max(F.struct("page_id", "url", "id")).alias("keeper")), "warc-keepers")
     joined = slim.join(keepers, "sha256", "left")
     revisit = F.col("keeper.page_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keeper.page_id"))
     line = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
+    target = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"), line("Content-Length", F.col("size").cast("string")), F.lit("\r\n"))
+    refers = F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", F.col("keeper.id")))
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
+        line("WARC-Target-URI", target),
         line("WARC-Date", F.lit(WARC_DATE)),
-        line("WARC-Record-ID", record_id(F.col("page_id"), F.col("url"))),
+        line("WARC-Record-ID", F.col("id")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", record_id(F.col("keeper.page_id"), F.col("keeper.url"))), line("X-Refers-To-Page", F.col("keeper.page_id").cast("string")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html; charset=utf-8")),
-        line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("size")).cast("string")),
+        F.when(revisit, refers).otherwise(F.lit("")),
+        line("Content-Type", F.lit("application/http; msgtype=response")),
+        line("Content-Length", (F.octet_length(http) + F.when(revisit, F.lit(0)).otherwise(F.col("size"))).cast("string")),
         F.lit("\r\n"),
+        http,
     )
     joined.select("page_id", "sha256", header.cast("binary").alias("header")).write.option("compression", "zstd").parquet(f"{path}/headers")
 
@@ -81,18 +93,25 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     are, only their sizes and digests, computed from the bytes read back, are joined."""
     head = F.col("header").cast("string")
     field = lambda name: F.regexp_extract(head, rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
-    refers = field("X-Refers-To-Page")
-    headers = spark.read.parquet(f"{path}/headers").select(
-        "page_id", "sha256", field("WARC-Type").alias("record_type"), F.when(refers != "", refers.cast("long")).alias("refers_to"), field("WARC-Payload-Digest").alias("told")
+    http = F.octet_length(head) - F.octet_length(F.substring_index(head, "\r\n\r\n", 1)) - 4
+    refers = field("WARC-Refers-To")
+    headers = spark.read.parquet(f"{path}/headers")
+    told = headers.select(
+        "page_id", "sha256", field("WARC-Type").alias("record_type"), F.when(refers != "", refers).otherwise(F.concat(F.lit("none "), "sha256")).alias("to"), field("WARC-Payload-Digest").alias("told"), field("Content-Length").cast("long").alias("length"), http.alias("http")
     )
     facts = _payloads(spark, path).select("sha256", F.length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload")).alias("payload_digest"))
-    told = F.concat(F.lit("sha1:"), F.col("payload_digest"))
-    checked = F.when(F.col("told") == told, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("sha256"))))
-    return headers.join(facts, "sha256", "left").select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "refers_to")
+    body = F.when(F.col("record_type") == "revisit", F.lit(0)).otherwise(F.col("payload_bytes"))
+    sound = (F.col("told") == F.concat(F.lit("sha1:"), F.col("payload_digest"))) & (F.col("length") == F.col("http") + body)
+    checked = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("header and payload differ: "), F.col("sha256"))))
+    joined = told.join(facts, "sha256", "left").select("page_id", "payload_bytes", checked.alias("payload_digest"), "record_type", "to")
+    # Only responses are referred to; a revisit whose response is lost fails.
+    responses = headers.where(field("WARC-Type") == "response").select(field("WARC-Record-ID").alias("to"), F.col("page_id").alias("refers_to"))
+    found = F.when((F.col("record_type") == "response") | F.col("refers_to").isNotNull(), F.col("refers_to")).otherwise(F.raise_error(F.concat(F.lit("no response "), F.col("to"))))
+    return joined.join(responses, "to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", found.alias("refers_to"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id and its record's exact bytes: header, payload (responses), two line ends."""
+    """page_id and its record's exact bytes: header, HTTP head, payload (responses), two line ends."""
     headers = spark.read.parquet(f"{path}/headers")
     body = F.when(F.col("header").cast("string").contains("\r\nWARC-Type: revisit\r\n"), F.lit(b"").cast("binary")).otherwise(F.col("payload"))
     return headers.join(_payloads(spark, path), "sha256", "left").select("page_id", F.concat("header", body, F.lit(b"\r\n\r\n").cast("binary")).alias("record"))

@@ -11,6 +11,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from termforge.llm import bpe, classify, fingerprints, gbt, media, mixing, near_join, ngram_lm, secrets, warc
 from termforge.llm.components import components
@@ -86,8 +87,6 @@ def test_mix_meets_targets(spark, odd):
 
 
 def test_apportion_is_sainte_lague(spark):
-    from pyspark.sql import functions as F
-
     random.seed(8)
     for n in (1, 2, 9, 40):
         quotas = [(f"p{i}", random.choice([0.2, 0.49, 1.5, 3.3, 250.0]) * random.random()) for i in range(n)]
@@ -261,22 +260,43 @@ def test_archive_round_trip(spark, tmp_path):
         same([tuple(r) for r in warc.read_records(spark, path).collect()], expected)
         records = [bytes(r.record) for r in warc.reconstruct(spark, path).collect()]
         assert len(records) == len(pages) and all(r.startswith(b"WARC/1.1\r\nWARC-Type: ") and r.endswith(b"\r\n\r\n") for r in records)
-        bodies = collections.Counter(r.split(b"\r\n\r\n", 1)[1][:-4] for r in records if b"WARC-Type: response" in r)
-        assert bodies[b"<p>\xc3\xa9</p>"] >= 1 and len({r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records}) >= 61
+        bodies = collections.Counter(r.split(b"\r\n\r\n", 2)[2][:-4] for r in records if b"WARC-Type: response" in r)
+        assert bodies[b"<p>\xc3\xa9</p>"] >= 1 and len({r.split(b"WARC-Record-ID: ")[1].split(b"\r\n")[0] for r in records}) == len(pages)
+        for r in records:
+            head, block = r[:-4].split(b"\r\n\r\n", 1)
+            assert head.split(b"\r\n")[0] == b"WARC/1.1" and b"application/http; msgtype=response" in head
+            assert int(re.search(rb"\r\nContent-Length: (\d+)", head)[1]) == len(block) and block.startswith(b"HTTP/1.1 200 OK\r\n")
+            if b"WARC-Type: response" in head:
+                payload = block.split(b"\r\n\r\n", 1)[1]
+                assert b"sha1:" + base64.b32encode(hashlib.sha1(payload).digest()) in head and int(re.search(rb"\r\nContent-Length: (\d+)", block)[1]) == len(payload)
+            else:
+                assert any(b"WARC-Record-ID: " + re.search(rb"Refers-To: (\S+)", head)[1] in x for x in records)
         assert spark.read.parquet(f"{path}/payloads").count() == len({h or "" for _, _, h in pages})
 
 
 def test_damaged_payloads_are_found(spark, tmp_path):
     path = str(tmp_path / "w")
     warc.write_archive(spark.createDataFrame([(1, "u", "good")], "page_id long, url string, html string"), path)
-    from pyspark.sql import functions as F
-
     bad = spark.read.parquet(f"{path}/payloads").withColumn("payload", F.lit(b"evil").cast("binary")).collect()
     spark.createDataFrame(bad, "sha256 string, payload binary").write.mode("overwrite").parquet(f"{path}/payloads")
     with pytest.raises(Exception, match="does not match"):
         warc.read_records(spark, path).collect()
 
 
+def test_damaged_headers_are_found(spark, tmp_path):
+    path = str(tmp_path / "w")
+    pages = spark.createDataFrame([(1, "u", "good"), (2, "v", "good"), (3, "w", "x" * 3_000_000)], "page_id long, url string, html string")
+    for c in ("size", "sha1", "id", "keeper", "to", "payload", "sha256", "row", "header"):
+        pages = pages.withColumn(c, F.lit("clash"))
+    warc.write_archive(pages, path)
+    assert [tuple(r)[:2] + tuple(r)[3:] for r in warc.read_records(spark, path).orderBy("page_id").collect()] == [(1, 4, "revisit", 2), (2, 4, "response", None), (3, 3_000_000, "response", None)]
+    good = spark.read.parquet(f"{path}/headers").collect()
+    for broken, what in ((lambda r: bytes(r.header).replace(b"Content-Length: ", b"Content-Length: 1", 1), "differ"), (lambda r: re.sub(rb"(Record-ID: <urn:uuid:)....", rb"\g<1>zzzz", bytes(r.header)), "no response")):
+        spark.createDataFrame([(r.page_id, r.sha256, bytearray(broken(r))) for r in good], "page_id long, sha256 string, header binary").write.mode("overwrite").parquet(f"{path}/headers")
+        with pytest.raises(Exception, match=what):
+            warc.read_records(spark, path).collect()
+
+
 # --- 6 media -------------------------------------------------------------------------
 
 
@@ -675,8 +695,6 @@ def test_empty_pages(spark, tmp_path):
 
 @pytest.mark.parametrize("name", OPERATORS)
 def test_extra_columns_with_clashing_names(spark, name):
-    from pyspark.sql import functions as F
-
     rows = [(1, "token = abcdefgh one two three four five", "a"), (2, None, None)]
     extra = frame(spark, rows, 1)
     for c in ("size", "taken", "target", "shard", "range", "borrowed", "score", "held_out", "upper", "rep", "n", "spans", "live", "copies", "doc", "bucket", "digest", "begin", "blocks"):
