@@ -157,3 +157,22 @@ def test_two_writers_and_a_reader(spark, tmp_path):
             assert count % 5 == 0
         [f.result() for f in both]
     assert len(live(LeveledStore(spark, str(tmp_path / "s")).log().live())) == 60
+
+
+def test_the_shared_folder_is_the_sessions_own(spark, monkeypatch):
+    from termforge.sources.tables import scratch, shared_dir
+
+    assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
+    assert scratch(spark, "a") != scratch(spark, "a") and scratch(spark, "a").startswith(shared_dir(spark) + "/a-")
+
+    class Elsewhere:
+        """A session on a cluster that names no shared folder."""
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Elsewhere)
