@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import scratch
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many bytes of text are handled at once by the vectorised operators.
@@ -20,21 +20,6 @@ CHUNK_BYTES = 2 << 20
 ROWS_AT_ONCE = 512
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one of our own only where the session names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = getattr(shared_dir, "own", None)
-        if named is None:
-            named = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="termforge-")
-    return named.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost
     executors, and gives the planner the true size."""
@@ -45,6 +30,13 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return out
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A small table (pairs, links, sums) in a sixteenth of the shuffle partitions: each file
+    that is written costs its executor a few calls, whatever it holds. For plans whose last
+    stage is cheap, as it runs in so many tasks."""
+    return df.coalesce(max(8, shuffle_parts(df.sparkSession) // 16))
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove stored tables that nothing reads any more: what was made from them has been
     stored in its turn, so a lost executor can't ask for them again."""

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, stored
+from .common import discard, few, stored
 
 MOST_ROUNDS = 60
 
@@ -30,11 +30,12 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """a, b: every node that isn't the least of its component, with the least one.
 
-    edges: a, b (long), in any direction; self-loops and repeats are ignored."""
-    now = stored(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges: a, b (long), in any direction; self-loops, repeats and edges with a null end are
+    ignored, and so are other columns. No edges give no rows."""
+    now = stored(few(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     mark = None
     for _ in range(MOST_ROUNDS):
-        before, now = now, stored(_star(_star(now, True), False), "edges")
+        before, now = now, stored(few(_star(_star(now, True), False)), "edges")
         discard(before)
         said = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if said == mark:

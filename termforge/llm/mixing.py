@@ -16,7 +16,9 @@ large, however hot the source; texts are never shuffled, only ids and sizes.
 
 Null or empty text has size 0 and is taken 0 times; a null source is a source of its
 own; a null doc_id is hashed as a null. Repeated rows are rows of their own. An empty
-table gives no rows. Columns besides doc_id, text and source are ignored.
+table gives no rows. A text counts with all its words however long it is. Columns besides
+doc_id, text and source are ignored by mix() and kept by mixed_documents(), whatever
+their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, few, stored
 
 #: Words in a block, of which a shard has a whole number.
 BLOCK_WORDS = 32
@@ -116,7 +118,7 @@ def _mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, max_repeats: int = M
     # Blocks: a shard of w words has round(w / block_words) of them, 1 at least, each of w / blocks words.
     shards = dealt.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     shards = shards.withColumn("blocks", F.when(F.col("shard_size") > 0, F.greatest(F.lit(1).cast("long"), F.round(F.col("shard_size") / block_words).cast("long"))).otherwise(F.lit(0).cast("long")))
-    shards = stored(shards, "mix-shards")
+    shards = stored(few(shards), "mix-shards")
     sources = shards.groupBy("source").agg(F.sum("blocks").alias("blocks"), F.first("source_size").alias("source_size"), F.first("target").alias("target"))
     sources = sources.withColumn("quota", F.when(F.col("source_size") > 0, F.col("target") * F.col("blocks") / F.col("source_size")).otherwise(F.lit(0.0))).withColumn("most", F.col("blocks") * max_repeats)
     all_seats = F.round(F.round(F.sum("quota").over(W.partitionBy(F.lit(1))), 6))
@@ -180,10 +182,11 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     class's two nearest numbers of copies that one is made which leaves the fewest words
     over, and these are carried to the next shorter class. So each length has its share.
     Rows without words stay out, as the mix takes nothing of them."""
-    numbered = stored(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-rows")
+    numbered = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("_mix_row")), "mix-rows")
+    slim = numbered.select("doc.doc_id", "doc.source", "doc.text", "_mix_row")
     share = F.when(F.col("size") > 0, F.expr(f"(taken * {COPY}L) div size")).otherwise(F.lit(0)).cast("long")
     length = F.when(F.col("size") > 0, F.floor(F.log2(F.col("size").cast("double")) * LENGTHS)).otherwise(F.lit(-1)).cast("int")
-    plan = _mixed(numbered, seed=seed, keep=("_mix_row",)).where(F.col("taken") > 0)
+    plan = _mixed(slim, seed=seed, keep=("_mix_row",)).where(F.col("taken") > 0)
     plan = stored(plan.select("_mix_row", "doc_id", "size", "source", "shard", "taken", length.alias("length"), share.alias("share")), "mix-shares")
 
     # Running sums within the rows of a source's length and shard, and over those groups.
@@ -200,4 +203,4 @@ def mixed_documents(docs: DataFrame, seed: int = SEED) -> DataFrame:
     copies = (F.shiftright(begin + F.col("share"), COPY_BITS) - F.shiftright(begin, COPY_BITS)).cast("int")
     per = placed.select(F.col("_mix_row").alias("_mix_of"), copies.alias("_mix_copies")).where(F.col("_mix_copies") > 0)
     joined = numbered.join(per, F.col("_mix_row") == F.col("_mix_of"))
-    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*[numbered[c] for c in docs.columns])
+    return joined.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select("doc.*")

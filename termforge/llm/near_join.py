@@ -34,7 +34,9 @@ texts of the candidates alone.
 
 Null text is an empty text: no shingles, linked with nothing, its component its own id.
 A null id is a node like any other; its component is the least id it reaches, null if
-none. Repeated rows are equal sets. Other columns are ignored; an empty table gives none.
+none. Repeated rows are equal sets, and a text is one set however long it is. near_join()
+ignores other columns, one_of_each() keeps them, whatever their names. An empty table gives
+no rows.
 """
 
 from __future__ import annotations
@@ -49,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import chunks, deal, discard, give_back, map_rows, stored, utf8
+from .common import chunks, deal, discard, few, give_back, map_rows, stored, utf8
 from .components import components
 from .ngram_lm import LEAST_PARTS, PART_BYTES, mix, word_hashes
 from .tokens import Tokens
@@ -283,7 +285,7 @@ def members(groups: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """a, b of the pairs (of classes) that link, from the classes' whole sets."""
     side = lambda x: classes.select(F.col("upper").alias(x), F.col("upper").alias(f"{x}_upper"), F.col("n").alias(f"{x}_n"), F.col("fine").alias(f"{x}_sketch"))
-    pairs = stored(within_sketch(pairs.join(side("a"), "a").join(side("b"), "b")), "near-close")
+    pairs = stored(few(within_sketch(pairs.join(side("a"), "a").join(side("b"), "b"))), "near-close")
     wanted = pairs.select(F.col("a").alias("upper")).unionByName(pairs.select(F.col("b").alias("upper"))).distinct()
     ids = stored(classes.join(wanted, "upper", "left_semi").select("rep", "upper"), "near-ids")
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text"))
@@ -306,7 +308,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame
             if 100 * common >= 80 * (len(x) + len(y) - common):
                 yield a, b
 
-    linked = stored(map_rows(both.select("a", "b", "x", "y"), compare, "a long, b long"), "near-linked")
+    linked = stored(few(map_rows(both.select("a", "b", "x", "y"), compare, "a long, b long").distinct()), "near-linked")
     discard(pairs, ids, sets)
     return linked
 
@@ -439,7 +441,7 @@ def near_join(docs: DataFrame) -> DataFrame:
     known = classes.select("node", "upper", "n", "sketch")
     side = lambda x: known.select(F.col("node").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in known.columns[1:]])
     met = star_pairs(groups).join(side("a"), "a").join(side("b"), "b").where(4 * F.greatest("a_n", "b_n") <= 5 * F.least("a_n", "b_n"))
-    stars = stored(within_sketch(met), "near-stars")
+    stars = stored(few(within_sketch(met)), "near-stars")
     linked = verified(stars, classes, docs)
     links = components(linked)
     discard(stars, linked)
@@ -454,7 +456,7 @@ def near_join(docs: DataFrame) -> DataFrame:
     labels, touched = labelled(links), None
     for every in (False, True):
         some = labels if touched is None else labels.join(touched, "label", "left_semi")
-        possible = stored(cross_pairs(open_rows(all_members, some), every), "near-possible")
+        possible = stored(few(cross_pairs(open_rows(all_members, some), every)), "near-possible")
         more = verified(possible, classes, docs)
         found, old = more.count(), links
         if found:
@@ -467,7 +469,7 @@ def near_join(docs: DataFrame) -> DataFrame:
         labels = labelled(links)
         side = lambda x: labels.select(F.col("upper").alias(x), F.col("label").alias(f"of_{x}"))
         failed = possible.join(more, ["a", "b"], "left_anti").join(side("a"), "a").join(side("b"), "b").where(F.col("of_a") != F.col("of_b"))
-        touched = stored(failed.select(F.explode(F.array("of_a", "of_b")).alias("label")).distinct(), "near-touched")
+        touched = stored(few(failed.select(F.explode(F.array("of_a", "of_b")).alias("label")).distinct()), "near-touched")
         discard(possible, more)
     discard(all_members)
 
@@ -482,11 +484,11 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     and of rows that share it the one stored first. Rows without words stay.
 
     Rows are told apart by a stored number, which stands for doc_id in the join."""
-    numbered = stored(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-rows")
-    found = near_join(numbered.select(F.col("_near_row").alias("doc_id"), "text")).where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("_row"), "component_id")
+    numbered = stored(docs.select(F.struct(*docs.columns).alias("doc"), F.monotonically_increasing_id().alias("row")), "near-rows")
+    found = near_join(numbered.select(F.col("row").alias("doc_id"), "doc.text")).where(F.col("n_shingles") > 0).select(F.col("doc_id").alias("of"), "component_id")
     found = stored(found, "near-found")
-    named = found.join(numbered.select("_near_row", F.col("doc_id").cast("long").alias("_near_id")), F.col("_row") == F.col("_near_row"))
-    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("_near_id").isNull().alias("none"), "_near_id", "_row")).alias("first")).select(F.col("first._row").alias("_first"))
-    gone = stored(found.join(first, F.col("_row") == F.col("_first"), "left_anti").select("_row"), "near-gone")
-    kept = numbered.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, F.col("_near_row") == F.col("_row"), "left_anti")
-    return kept.select(*docs.columns)
+    named = found.join(numbered.select("row", F.col("doc.doc_id").cast("long").alias("id")), F.col("of") == F.col("row"))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "of")).alias("first")).select(F.col("first.of").alias("first"))
+    gone = stored(found.join(first, F.col("of") == F.col("first"), "left_anti").select("of"), "near-gone")
+    kept = numbered.join(F.broadcast(gone) if gone.count() <= MOST_IDS else gone, F.col("row") == F.col("of"), "left_anti")
+    return kept.select("doc.*")

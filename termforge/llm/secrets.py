@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import few, stored
 
 #: kind, pattern, its least length, the group that is measured, and words one of which every match holds.
 #: The patterns of the first three kinds are fixed values; the others are added by this scan.
@@ -125,7 +125,7 @@ def verdicts(found: DataFrame) -> DataFrame:
     of copied ones, and the most owners that any of its values has."""
     each = found.where(F.size("spans") > 0).select("_row", F.explode("spans").alias("span")).withColumn("hash", F.sha2(F.col("span.value").cast("binary"), 256))
     # A table of its own, so that the join meets plain shuffles, of which Spark splits a hot value's.
-    known = each.join(stored(ownership(found), "secrets-owners"), "hash")
+    known = each.join(stored(few(ownership(found)), "secrets-owners"), "hash")
     live = F.array_sort(F.collect_list(F.when(~F.col("copied"), F.struct("span.at", "span.to"))))
     return known.groupBy("_row").agg(live.alias("live"), F.sum(F.col("copied").cast("long")).alias("n_copied"), F.max("owners").alias("most_owners"))
 
