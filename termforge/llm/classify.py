@@ -32,6 +32,8 @@ from .tokens import Tokens
 SAMPLE_ROWS = 24_000
 HELD_OUT = 5
 SEED = 29
+#: Parts of the sample for the toxicity model: what is learned from a row never flatters that row.
+FOLDS = 5
 
 Features = Callable[[list[bytes]], np.ndarray]
 
@@ -49,18 +51,26 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int = SAMPLE_RO
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")).join(F.broadcast(few), "doc_id")
 
 
-def sample_features(chosen: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Feature rows, labels and hashes of the (bounded) sample, in order of the hashes."""
+def fold_of(part: np.ndarray) -> np.ndarray:
+    return part % FOLDS
+
+
+def sample_features(chosen: DataFrame, features: list[Features]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Feature rows, labels and folds of the (bounded) sample, in order of its second hash.
+    features: one for all rows, or one for each fold."""
 
     def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
         for some in chunks(tuples, 3):
-            for (k, y, part, _), f in zip(some, features([t[3] for t in some])):
-                yield k, y, part, f.astype("<f8").tobytes()
+            fold = fold_of(np.array([t[2] for t in some])) % len(features)
+            for i in np.unique(fold).tolist():
+                mine = [t for t, f in zip(some, fold.tolist()) if f == i]
+                for (k, y, part, _), f in zip(mine, features[i]([t[3] for t in mine])):
+                    yield k, y, part, f.astype("<f8").tobytes()
 
     got = sorted(map_rows(chosen.select("doc_id", "y", "part", "text"), rows, "doc_id long, y double, part long, x binary").collect(), key=lambda r: (r.part, r.doc_id, r.x))
-    width = len(features([b""])[0])
+    width = len(features[0]([b""])[0])
     x = np.frombuffer(b"".join(r.x for r in got), "<f8").reshape(-1, width)
-    return x, np.array([r.y for r in got]), np.array([r.part for r in got], np.int64)
+    return x, np.array([r.y for r in got]), fold_of(np.array([r.part for r in got], np.int64))
 
 
 def score_all(docs: DataFrame, features: Features, model: Callable[[np.ndarray], np.ndarray], threshold: float) -> DataFrame:
@@ -153,7 +163,7 @@ def quality_features(texts: list[bytes]) -> np.ndarray:
 
 
 def quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    x, y, _ = sample_features(sample(docs, labels, "quality"), quality_features)
+    x, y, _ = sample_features(sample(docs, labels, "quality"), [quality_features])
     forest = gbt.fit(x, y)
     return score_all(docs, quality_features, forest.score, threshold)
 
@@ -169,7 +179,7 @@ PREFIXES = range(3, 9)
 #: A learned stem is in so many toxic documents at least, and so much likelier there.
 LEAST_DOCS, LEAST_ODDS = 3, 4.0
 #: Words and stems that a task holds while it counts, before it starts anew or gives them out.
-HELD_WORDS, HELD_STEMS = 50_000, 300_000
+HELD_WORDS, HELD_STEMS = 50_000, 200_000
 
 
 def _bare(word: bytes) -> str:
@@ -181,18 +191,20 @@ def _stems(word: str) -> list[str]:
     return [word[:k] for k in PREFIXES if k <= len(word)] + [word + "$"]
 
 
-def learn_lexicon(chosen: DataFrame) -> dict[str, float]:
+def learn_lexicon(chosen: DataFrame) -> list[dict[str, float]]:
     """Stems (beginnings of words, and whole words) that tell toxic documents apart, with
-    their log odds, from the sample's first half by hash. Counted where the texts are: the
-    stems of toxic documents first, then those stems in the others."""
+    their log odds: a lexicon for each fold, learned from the other folds, and one learned
+    from all. Counted where the texts are: the stems of toxic documents first, then those
+    stems in the others. What the driver gets is bounded by the sample: stems of
+    LEAST_DOCS of its toxic documents at least."""
 
     def counting(wanted: set[str] | None):
         def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
             seen: Counter = Counter()
-            docs = 0
             memo: dict[bytes, list[str]] = {}
-            for (text,) in tuples:
-                docs += 1
+            for text, part in tuples:
+                fold = part % FOLDS
+                seen[fold, ""] += 1
                 stems: set[str] = set()
                 for w in set(text.lower().split()):
                     if w not in memo:
@@ -200,26 +212,35 @@ def learn_lexicon(chosen: DataFrame) -> dict[str, float]:
                             memo.clear()
                         memo[w] = [s for s in _stems(_bare(w)) if wanted is None or s in wanted]
                     stems.update(memo[w])
-                seen.update(stems)
+                seen.update((fold, s) for s in stems)
                 if len(seen) > HELD_STEMS:
-                    yield from seen.items()
+                    yield from ((f, s, n) for (f, s), n in seen.items())
                     seen.clear()
-            yield "", docs
-            yield from seen.items()
+            yield from ((f, s, n) for (f, s), n in seen.items())
 
         return rows
 
-    def count(y: float, wanted: set[str] | None, least: int) -> dict[str, int]:
-        part = chosen.where((F.col("y") == y) & (F.col("part") < 0)).select("text")
-        per = map_rows(part, counting(wanted), "stem string, docs long").groupBy("stem").agg(F.sum("docs").alias("docs"))
-        return {r.stem: r.docs for r in per.where((F.col("docs") >= least) | (F.col("stem") == "")).collect()}
+    def count(y: float, wanted: set[str] | None, least: int) -> dict[str, np.ndarray]:
+        """Documents of each fold that hold a stem, and of all folds; those of "" are all."""
+        per = map_rows(chosen.where(F.col("y") == y).select("text", "part"), counting(wanted), "fold int, stem string, docs long")
+        folds = [F.coalesce(F.sum(F.when(F.col("fold") == i, F.col("docs"))), F.lit(0)).alias(f"f{i}") for i in range(FOLDS)]
+        rows = per.groupBy("stem").agg(*folds, F.sum("docs").alias("docs")).where((F.col("docs") >= least) | (F.col("stem") == "")).collect()
+        return {r.stem: np.array([*(r[f"f{i}"] for i in range(FOLDS)), r.docs]) for r in rows}
 
+    none = np.zeros(FOLDS + 1, np.int64)
     toxic = count(1.0, None, LEAST_DOCS)
-    n_toxic = toxic.pop("", 0)
+    n_toxic = toxic.pop("", none)
     clean = count(0.0, set(toxic), 1) if toxic else {}
-    n_clean = clean.pop("", 0)
-    odds = {s: float(np.log((k + 0.5) / (n_toxic + 1) * (n_clean + 1) / (clean.get(s, 0) + 0.5))) for s, k in toxic.items()}
-    return {s: o for s, o in odds.items() if o >= np.log(LEAST_ODDS)}
+    n_clean = clean.pop("", none)
+    lexicons: list[dict[str, float]] = [{} for _ in range(FOLDS + 1)]
+    others = lambda n: np.append(n[-1] - n[:-1], n[-1])  # without each fold, and of all
+    all_toxic, all_clean = others(n_toxic), others(n_clean)
+    for stem, k in toxic.items():
+        k, c = others(k), others(clean.get(stem, none))
+        odds = np.log((k + 0.5) / (all_toxic + 1) * (all_clean + 1) / (c + 0.5))
+        for i in np.flatnonzero((k >= LEAST_DOCS) & (odds >= np.log(LEAST_ODDS))).tolist():
+            lexicons[i][stem] = float(odds[i])
+    return lexicons
 
 
 class ToxicityFeatures:
@@ -288,18 +309,19 @@ class ToxicityFeatures:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> tuple[ToxicityFeatures, Callable[[np.ndarray], np.ndarray]]:
-    """The lexicon comes from one half of the sample, the trees from two thirds of the
-    other half and the calibration from the last sixth, so that none flatters the next."""
+    """Every row of the sample teaches lexicon, trees and calibration: its features come from
+    the lexicon of the other folds, and the margin that calibrates from trees of the others."""
     chosen = sample(docs, labels, "toxic")
-    features = ToxicityFeatures(learn_lexicon(chosen))
-    x, y, part = sample_features(chosen.where(F.col("part") >= 0), features)
+    *apart, features = map(ToxicityFeatures, learn_lexicon(chosen))
+    x, y, fold = sample_features(chosen, apart)
     if not len(y):
         return features, lambda rows: np.zeros(len(rows))
-    last = part % 3 == 0
-    forest = gbt.fit(x[~last], y[~last])
-    if not last.any():
-        return features, forest.score
-    xs, ys = gbt.isotonic(forest.margin(x[last]), y[last])
+    forest = gbt.fit(x, y)
+    margin = np.zeros(len(y))
+    for i in np.unique(fold).tolist():
+        mine = fold == i
+        margin[mine] = (gbt.fit(x[~mine], y[~mine]) if not mine.all() else forest).margin(x[mine])
+    xs, ys = gbt.isotonic(margin, y)
     return features, lambda rows: np.interp(forest.margin(rows), xs, ys)
 
 
