@@ -10,7 +10,9 @@ literal map of 50,256 ranks is searched linearly by Spark's map lookup, and word
 would have to be exploded, joined and regrouped through the shuffle. See README.
 
 Null text is an empty text: 0 tokens. Long words merge through a heap, so their
-cost is n log n. Extra columns are ignored; repeated rows give repeated results.
+cost is n log n. Extra columns are ignored, whatever their names; repeated rows give
+repeated results, null keys stay null, and an empty table gives no rows. Null ids decode to
+no bytes; ids that the vocabulary lacks, or bytes that aren't whole ids, are an error.
 """
 
 from __future__ import annotations
@@ -228,7 +230,10 @@ class Coder:
         return self.encode_all([text])[0]
 
     def decode(self, packed: bytes) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        try:
+            return b"".join(map(self.pieces.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+        except KeyError as e:
+            raise ValueError(f"the vocabulary has no token {e.args[0]}") from None
 
 
 def _coder(source, made: dict = {}) -> Coder:

@@ -3,6 +3,9 @@
 Features are cut into at most BINS quantile bins; trees grow level by level to a
 fixed depth on the binned histogram of gradients, and are kept as flat arrays (a
 complete binary tree a row), which score() walks for all rows at once.
+
+Without rows, or with rows of one class only, there are no trees: every score is the share
+of the class, 0.5 without rows. Features are finite numbers; rows and features may repeat.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ results either way).
 
 A text's tokens are its words and one end; a pair's first word is the end at the start.
 Null text is empty: one token. Null ids train and are not held out. Repeated rows count
-and are scored each. With no training rows every count is 0. Other columns are ignored.
+and are scored each. With no training rows every count is 0. Other columns are ignored, and
+a text is scored as a whole however long it is. An empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ import numpy as np
 
 
 class Tokens:
-    """Words are runs of anything but ASCII white space, A-Z lower-cased if asked."""
+    """Words are runs of anything but ASCII white space, A-Z lower-cased if asked. A text
+    without words, an empty one among them, has none; no texts give empty arrays."""
 
     def __init__(self, texts: list[bytes], lower: bool = True):
         split = [(t.lower() if lower else t).split() for t in texts]

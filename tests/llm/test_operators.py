@@ -670,17 +670,38 @@ def test_one_row_of_each_group_stays_with_null_and_repeated_ids(spark):
 # --- all of them ---------------------------------------------------------------------
 
 
+def few_labels(docs):
+    return docs.sparkSession.createDataFrame([(1, 1, 0), (None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int")
+
+
+def over_bpe(run):
+    def of(docs):
+        import public_tokenizers
+
+        return run(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+    return of
+
+
 OPERATORS = {
     "mix": mixing.mix,
+    "mixed_documents": mixing.mixed_documents,
     "fingerprints": fingerprints.fingerprint_edits,
+    "bpe": over_bpe(bpe.round_trip),
+    "tokenised": over_bpe(bpe.tokenised),
+    "decode": over_bpe(lambda docs, *of: bpe.decode(bpe.encode(docs, *of), *of)),
     "lm": ngram_lm.score_documents,
     "media": media.round_trip,
     "secrets": secrets.scan,
     "redact": secrets.redact,
     "near": near_join.near_join,
-    "quality": lambda docs: classify.quality(docs, docs.sparkSession.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")),
-    "toxicity": lambda docs: classify.toxicity(docs, docs.sparkSession.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")),
+    "one_of_each": near_join.one_of_each,
+    "quality": lambda docs: classify.quality(docs, few_labels(docs)),
+    "toxicity": lambda docs: classify.toxicity(docs, few_labels(docs)),
+    "without_toxic": lambda docs: classify.without_toxic(docs, few_labels(docs)),
 }
+#: Those that give back the columns of docs.
+KEEP_COLUMNS = {"mixed_documents", "redact", "one_of_each", "without_toxic"}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
@@ -688,6 +709,37 @@ def test_empty_tables(spark, name):
     assert OPERATORS[name](spark.createDataFrame([], DOCS)).collect() == []
 
 
+@pytest.mark.parametrize("name", KEEP_COLUMNS)
+def test_stages_take_every_odd_row(spark, odd, name):
+    docs = frame(spark, odd)
+    got = OPERATORS[name](docs)
+    assert got.schema == docs.schema
+    left = collections.Counter(repr(tuple(r)[:2]) for r in got.collect())
+    rows = collections.Counter(repr(r[:2]) for r in odd)
+    if name == "without_toxic":
+        assert left == rows
+    elif name == "one_of_each":
+        assert set(left) <= set(rows) and all(left[k] <= rows[k] for k in left) and left[repr((7000, None))] == 1
+    elif name == "redact":
+        assert sum(left.values()) == sum(rows.values()) and left[repr((7000, None))] == 1
+    else:
+        assert set(left) <= set(rows) and all(left[k] <= 3 * rows[k] for k in left) and repr((7000, None)) not in left
+
+
+def test_unknown_ids_and_broken_ones_are_errors(spark):
+    decode = over_bpe(bpe.decode)
+    for ids in (b"\xff\xff\xff\x7f", b"abc"):
+        with pytest.raises(Exception, match="no token|buffer size"):
+            decode(spark.createDataFrame([(1, bytearray(ids))], "doc_id long, ids binary")).collect()
+    assert [bytes(r.bytes) for r in decode(spark.createDataFrame([(1, None)], "doc_id long, ids binary")).collect()] == [b""]
+
+
+def test_edges_with_null_ends_are_ignored(spark):
+    got = components(spark.createDataFrame([(1, None), (None, None), (3, 2), (None, 2)], "a long, b long")).collect()
+    assert [tuple(r) for r in got] == [(3, 2)]
+    assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
 def test_empty_pages(spark, tmp_path):
     warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "w"))
     assert warc.read_records(spark, str(tmp_path / "w")).collect() == []
@@ -697,11 +749,11 @@ def test_empty_pages(spark, tmp_path):
 def test_extra_columns_with_clashing_names(spark, name):
     rows = [(1, "token = abcdefgh one two three four five", "a"), (2, None, None)]
     extra = frame(spark, rows, 1)
-    for c in ("size", "taken", "target", "shard", "range", "borrowed", "score", "held_out", "upper", "rep", "n", "spans", "live", "copies", "doc", "bucket", "digest", "begin", "blocks"):
+    for c in ("_row", "_of", "_live", "_spans", "_cut", "_mix_row", "_mix_of", "_mix_copies", "_mix_copy", "_near_row", "_near_id", "row", "doc", "of", "id", "first", "text_", "size", "taken", "target", "shard", "range", "borrowed", "score", "held_out", "upper", "rep", "n", "spans", "live", "copies", "bucket", "digest", "begin", "blocks"):
         extra = extra.withColumn(c, F.lit("clash"))
     own = OPERATORS[name](frame(spark, rows, 1))
     same([tuple(r) for r in OPERATORS[name](extra).select(*own.columns).collect()], [tuple(r) for r in own.collect()])
-    if name == "redact":
+    if name in KEEP_COLUMNS:
         assert OPERATORS[name](extra).columns == extra.columns
 
 
