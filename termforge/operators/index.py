@@ -1,12 +1,14 @@
 """The positional inverted index as DataFrames.
 
 An index over documents is lazy: a query's plan filters tokens to its own terms before
-anything is shuffled. A saved index is postings sorted by term, so that Parquet's
-row-group statistics prune a term or a prefix."""
+anything is shuffled. A saved index is postings in folders by a hash of the term, of which
+an exact lookup opens one, sorted by term, so that Parquet's statistics prune within a file."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,18 @@ from pyspark.sql import functions as F
 from ..functions.analysis import AnalyzerConfig, analyze, tokens
 
 BLOCK_DOCS = 65_536
+#: Folders of a saved index.
+SLOTS = 16
+
+
+def slot_of(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SLOTS)).cast("int")
 
 
 @dataclass(frozen=True)
 class TextIndex:
-    """occurrences: doc_id, term, positions (one or more rows for each term of a document);
-    universe: the distinct ids of all indexed documents, with or without tokens."""
+    """occurrences: doc_id, term, positions (one or more rows for each term of a document), and
+    slot if they are saved by slots; universe: the distinct ids of all indexed documents, with or without tokens."""
 
     occurrences: DataFrame
     universe: DataFrame
@@ -41,7 +49,11 @@ class TextIndex:
 
     def frequencies(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc_id, tf; of some exact terms only, if they are given."""
-        of = self.occurrences if terms is None else self.occurrences.where(F.col("term").isin(terms))
+        of = self.occurrences
+        if terms is not None:
+            of = of.where(F.col("term").isin(terms))
+            if self.slotted:
+                of = of.where(reduce(or_, (F.col("slot") == slot_of(F.lit(t)) for t in terms), F.lit(False)))
         return of.groupBy("term", "doc_id").agg(F.sum(F.size("positions")).cast("long").alias("tf"))
 
     def term_stats(self) -> DataFrame:
@@ -53,8 +65,16 @@ class TextIndex:
         return self.universe.agg(F.count(F.lit(1)).alias("n"))
 
     def matches(self, term: str) -> Column:
-        """The predicate of a looked-up term, which Parquet can prune by either way."""
-        return F.col("term").startswith(term) if self.config.match == "prefix" else F.col("term") == term
+        """The predicate of a looked-up term, which Parquet can prune by either way; an exact
+        one also picks its folder."""
+        if self.config.match == "prefix":
+            return F.col("term").startswith(term)
+        exact = F.col("term") == term
+        return exact & (F.col("slot") == slot_of(F.lit(term))) if self.slotted else exact
+
+    @property
+    def slotted(self) -> bool:
+        return "slot" in self.occurrences.columns
 
     def lookup_term(self, word: str) -> str | None:
         """A looked-up word is analysed, and only its first kept term counts."""
@@ -75,20 +95,22 @@ class TextIndex:
         """Both indexes' documents; positions of a term and document are united."""
         if other.config != self.config:
             raise ValueError("indexes of different analysers don't merge")
-        return TextIndex(self.occurrences.unionByName(other.occurrences), self.universe.unionByName(other.universe).distinct(), self.config)
+        columns = self.occurrences.columns if self.slotted and other.slotted else ["doc_id", "term", "positions"]
+        return TextIndex(self.occurrences.select(columns).unionByName(other.occurrences.select(columns)), self.universe.unionByName(other.universe).distinct(), self.config)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """postings/ and documents/. One shuffle, by ranges of term and document block: a
-        frequent term is spread over its blocks, and a lookup opens only the files whose
-        range of terms holds it, and reads one row group of each."""
-        blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).repartitionByRange("term", "block_id")
-        lists = blocks.groupBy("term", "block_id", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-        rows = lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "block_id")
-        rows.sortWithinPartitions("term", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+        """postings/ and documents/. One shuffle, by term and document block: a frequent term
+        is spread over its blocks, and the lists are grouped where they arrive. They go to
+        SLOTS folders by term, each file sorted by term."""
+        blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).withColumn("slot", slot_of(F.col("term"))).repartition("slot", "block_id")
+        lists = blocks.groupBy("slot", "block_id", "term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+        rows = lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "block_id", "slot")
+        rows.sortWithinPartitions("slot", "term", "doc_id").write.mode(mode).partitionBy("slot").parquet(f"{path}/postings")
         self.universe.write.mode(mode).parquet(f"{path}/documents")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: AnalyzerConfig = AnalyzerConfig()) -> TextIndex:
         """The index that was saved, with all batches that were appended to it."""
-        rows = spark.read.parquet(f"{path}/postings").select("doc_id", "term", "positions")
+        rows = spark.read.parquet(f"{path}/postings")
+        rows = rows.select("doc_id", "term", "positions", *(c for c in ("slot",) if c in rows.columns))
         return cls(rows, spark.read.parquet(f"{path}/documents").distinct(), config)

@@ -158,7 +158,8 @@ def test_saved_index_and_merge(spark, demo, tmp_path):
     assert ids(run_query(back, And(Term("lsm"), Term("compact")))) == [22]
     assert ids(phrase_docs(back, "write", "ahead", "log")) == [25]
     plan = back.occurrences.where(back.matches("lsm"))._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(term,lsm)" in plan
+    assert "EqualTo(term,lsm)" in plan and "PartitionFilters: [isnotnull(slot" in plan
+    assert scores(rank_tfidf(back, back.universe, ["lsm tree"])) == scores(rank_tfidf(index, index.universe, ["lsm tree"]))
     more = TextIndex.build(documents_from(spark, [(22, "zebra compact"), (500, "zebra")]), PLAIN)
     merged = back.merge(more)
     assert ids(run_query(merged, Term("zebra"))) == [22, 500]
