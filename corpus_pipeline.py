@@ -8,6 +8,12 @@ mixing        documents are taken, or repeated, by their source's share of the m
 byte_bpe      texts become token ids, which are decoded again for the check digest
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of documents.
+
+Null or empty texts are scored, kept by toxicity, near_join and secrets, and left out by the
+mix, which takes nothing of them. Null ids and sources are kept like any others; repeated
+rows are near duplicates, of which one stays. Texts are handled whole, however long. Columns
+besides doc_id, text and source pass through all but the last stage, whatever their names
+(n_chars follows a text that is cut). An empty table passes every stage without rows.
 """
 
 from __future__ import annotations
