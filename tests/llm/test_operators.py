@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import html.parser
 import math
 import os
 import random
@@ -344,6 +345,26 @@ def test_media_round_trip(spark, odd):
     assert (preview.digest, preview.media_bytes) == (hashlib.sha256(small).hexdigest(), len(small))
 
 
+def test_pages_quote_whole_lines_and_hold_whole_texts(spark):
+    first, last = "first & <" + "é\"' " * 5000 + "end", "last " + "x" * 90_000
+    texts = [first, f"{first}\n\nbetween\r\n&amp; \"more\"\n{last}", "", None, "a" * 61]
+    docs = frame(spark, [(i, t, "a") for i, t in enumerate(texts)])
+    quoted = {r.doc_id: [x.text for x in r.sequence if x.kind == "text"] for r in media.round_trip(docs).collect()}
+    assert quoted == {0: [" ".join(first.split())], 1: [" ".join(first.split()), last], 2: [], 3: [], 4: ["a" * 61]}
+    shown = {}
+
+    class Alts(html.parser.HTMLParser):
+        def handle_starttag(self, tag, attrs):
+            if tag == "img":
+                shown.setdefault(self.of, []).append(dict(attrs)["alt"])
+
+    for i, t in enumerate(texts):
+        parser = Alts()
+        parser.of = i
+        parser.feed(media.page_of((t or "").encode())[0])
+    assert shown == {i: ["", t or ""] for i, t in enumerate(texts)}
+
+
 AA, BB, CC = ("sha256:" + c * 64 for c in "abc")
 
 
