@@ -365,6 +365,18 @@ def test_pages_quote_whole_lines_and_hold_whole_texts(spark):
     assert shown == {i: ["", t or ""] for i, t in enumerate(texts)}
 
 
+def test_what_page_and_picture_repeat_is_stored_once(spark, tmp_path):
+    # Of each document, digests of 64 letters and 32 random ones stand in page, names and picture.
+    source, path = random.Random(3), tmp_path / "pages"
+    texts = [f"{source.getrandbits(128):032x}" for _ in range(3000)]
+    media.to_pages(frame(spark, [(i, t, "a") for i, t in enumerate(texts)]).coalesce(1), f"file://{path}")
+    assert sum(f.stat().st_size for f in path.glob("part-*")) < 180 * len(texts)
+    pages, store = media.read_pages(spark, f"file://{path}")
+    assert {r.doc_id: r.html for r in pages.collect()} == {i: media.page_of(t.encode())[0] for i, t in enumerate(texts)}
+    kept = [(x.digest, bytes(x.media)) for r in store.collect() for x in r.media]
+    assert sorted(kept) == sorted(x for t in texts for x in media.page_of(t.encode())[1])
+
+
 AA, BB, CC = ("sha256:" + c * 64 for c in "abc")
 
 
