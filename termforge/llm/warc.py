@@ -32,14 +32,10 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 def base32_sha1(payload: Column) -> Column:
     """Upper-case base32 of SHA-1, 160 bits being 32 letters without padding."""
-    h = F.sha1(payload)
-
-    def letter(i: Column) -> Column:
-        five_digits = F.conv(F.substring(h, F.lit(1) + F.lit(5) * F.floor(i / 4).cast("int"), F.lit(5)), 16, 10).cast("int")
-        value = F.floor(five_digits / F.pow(F.lit(2.0), F.lit(15) - F.lit(5) * (i % 4))).cast("int") % 32
-        return F.substring(F.lit("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"), value + 1, F.lit(1))
-
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), letter), "")
+    # By tens of hexadecimal digits, which are eight letters each; the payload is hashed once.
+    tens = F.regexp_extract_all(F.sha1(payload), F.lit("(.{10})"), 1)
+    eight = lambda x: F.lpad(F.conv(x, 16, 32), 8, "0")
+    return F.translate(F.array_join(F.transform(tens, eight), ""), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
 def record_id(*of: Column) -> Column:
