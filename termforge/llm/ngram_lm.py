@@ -117,15 +117,21 @@ def build_part(hashes: np.ndarray, counts: np.ndarray, most_bits: int) -> tuple[
 class CountFilter:
     """The parts of one order of n-grams; the part is in a hash's upper bits."""
 
-    def __init__(self, parts: list[tuple[int, bytes, int]], n_parts: int):
+    def __init__(self, parts: list[tuple[int, bytes, int]], n_parts: int, shapes: list[tuple[int, int, int]] | None = None):
+        """shapes: part, bytes and floor of parts whose bits are put in later."""
         self.n_parts = n_parts
         self.size, self.floor, self.start = np.ones(n_parts, np.uint64), np.ones(n_parts, np.int64), np.zeros(n_parts, np.int64)
-        blobs, at = [b"\0" * 8], 1  # parts without n-grams share an empty word
-        for part, bits, low in sorted(parts):
-            self.size[part], self.floor[part], self.start[part] = len(bits) // 8, low, at
-            blobs.append(bits)
-            at += len(bits) // 8
-        self.bits = np.frombuffer(b"".join(blobs), "<u8")
+        at = 1  # parts without n-grams share an empty word
+        for part, n, low in sorted([(part, len(bits), low) for part, bits, low in parts] if shapes is None else shapes):
+            self.size[part], self.floor[part], self.start[part] = n // 8, low, at
+            at += n // 8
+        self.bits = np.zeros(at, "<u8")
+        for part, bits, _ in parts:
+            self.put(part, bits)
+
+    def put(self, part: int, bits: bytes) -> None:
+        at = int(self.start[part])
+        self.bits[at : at + len(bits) // 8] = np.frombuffer(bits, "<u8")
 
     def level(self, hashes: np.ndarray) -> np.ndarray:
         """Each n-gram's level, 0 if it isn't stored."""
@@ -241,6 +247,25 @@ def score_chunk(texts: list[bytes], model: Model, lookup, levels) -> Iterator[tu
     )
 
 
+def fetch(parts: DataFrame, n_parts: int, tokens: int, kinds: int) -> tuple[list[CountFilter], np.ndarray, np.ndarray]:
+    """The filters of both orders, the words' hashes (ascending) and their counts. Each part goes
+    to its place as it comes, so that the driver holds the model once and a few parts."""
+    shapes = parts.select("order", "part", "floor", F.length("bits").alias("bits"), F.length("hashes").alias("hashes")).collect()
+    filters = [CountFilter([], n_parts, [(r.part, r.bits, r.floor) for r in shapes if r.order == order]) for order in (1, 2)]
+    known, exact = np.zeros(kinds, "<u8"), np.zeros(kinds, "<u4" if tokens < 1 << 32 else "<u8")
+    # Parts are in order of the hash, so their arrays join into one sorted array.
+    start, at = {}, 0
+    for r in sorted((r for r in shapes if r.order == 1), key=lambda r: r.part):
+        start[r.part] = at
+        at += r.hashes // 8
+    for r in parts.select("order", "part", "bits", "hashes", "counts").toLocalIterator():
+        filters[r.order - 1].put(r.part, r.bits)
+        if r.order == 1:
+            own = slice(start[r.part], start[r.part] + len(r.hashes) // 8)
+            known[own], exact[own] = np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.counts, "<i8")
+    return filters, known, exact
+
+
 RESULT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -253,14 +278,9 @@ def score_documents(docs: DataFrame, mu: float = MU, most_words: int = MOST_WORD
     tokens, kinds = (totals[1].tokens, totals[1].kinds) if 1 in totals else (0, 0)
     sc = docs.sparkSession.sparkContext
     if kinds <= most_words and sum(r.bytes for r in totals.values()) <= most_filter:
-        filters = [CountFilter([(r.part, bytes(r.bits), r.floor) for r in parts.where(F.col("order") == order).select("part", "bits", "floor").collect()], n_parts) for order in (1, 2)]
-        model = sc.broadcast(Model(filters, tokens, kinds, mu))
-        del filters
-        counts = parts.where(F.col("order") == 1).select("part", "hashes", "counts")
-        # Parts are in order of the hash, so their arrays join into one sorted array.
-        got = sorted((r.part, bytes(r.hashes), bytes(r.counts)) for r in counts.collect())
-        table = sc.broadcast((np.frombuffer(b"".join(x[1] for x in got), "<u8"), np.frombuffer(b"".join(x[2] for x in got), "<i8")))
-        del got
+        filters, known, exact = fetch(parts, n_parts, tokens, kinds)
+        model, table = sc.broadcast(Model(filters, tokens, kinds, mu)), sc.broadcast((known, exact))
+        del filters, known, exact
 
         def rows(tuples: Iterator[tuple]) -> Iterator[tuple]:
             known, exact = table.value

@@ -6,9 +6,11 @@ import hashlib
 import html.parser
 import math
 import os
+import pickle
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -239,6 +241,27 @@ def test_filter_reads_back_levels():
     assert (coarse[ngram_lm.levels(counts) >= raised] >= raised).all()
 
 
+def test_the_driver_holds_the_model_once(spark, monkeypatch):
+    # 3.2 million words and a filter of 19 MB; what they hold doesn't matter here.
+    words, bits, n_parts = 50_000, 150_000, ngram_lm.LEAST_PARTS
+    filled = lambda n: F.expr(f"cast(repeat('x', {n}) as binary)")
+    part = [F.lit(order).alias("order") for order in (1, 2)]
+    made = [spark.range(n_parts, numPartitions=8).select(o, F.col("id").cast("int").alias("part"), filled(bits).alias("bits"), F.lit(1).alias("floor"), filled(n).alias("hashes"), filled(n).alias("counts"), F.lit(words).cast("long").alias("kinds"), F.lit(words).cast("long").alias("tokens")) for o, n in zip(part, (8 * words, 0))]
+    monkeypatch.setattr(ngram_lm, "gather", lambda training, parts: made[0].union(made[1]))
+    sent = []
+    send = spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: (sent.append(len(pickle.dumps(value))), send(value))[1])
+    docs = frame(spark, [(1, "a text", "a")])
+    ngram_lm.score_documents(docs)
+    assert sum(sent) >= n_parts * (12 * words + 2 * bits)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", send)
+    tracemalloc.start()
+    ngram_lm.score_documents(docs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1.3 * sum(sent)
+
+
 # --- 5 WARC --------------------------------------------------------------------------
 
 
