@@ -36,6 +36,8 @@ BITS_PER_MEMBER, PROBES = 12, 5
 #: Up to so many bytes of filter, and so many words, are broadcast.
 MOST_FILTER = 96 << 20
 MOST_WORDS = 8_000_000
+#: Bytes of parts that are fetched at once for it.
+FETCH_BYTES = 6 << 20
 #: Weight of the word probabilities in a pair's smoothing, in counts.
 MU = 500.0
 #: Text bytes for each part of the counts, and for each bucket of documents.
@@ -155,7 +157,7 @@ def _summed(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     order = np.argsort(hashes)
     hashes, counts = hashes[order], counts[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])) if len(hashes) else np.zeros(0, np.int64)
-    return hashes[first], np.add.reduceat(counts, first) if len(first) else counts[:0]
+    return hashes[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts[:0]
 
 
 def held_out():
@@ -174,7 +176,9 @@ def gather(training: DataFrame, n_parts: int) -> DataFrame:
 
         def deal() -> Iterator[tuple]:
             for order, pieces in held.items():
-                hashes, counts = _summed(*(np.concatenate(x) for x in zip(*pieces)))
+                hashes, counts = (np.concatenate(x) for x in zip(*pieces))
+                pieces.clear()  # not held beside what is made from them
+                hashes, counts = _summed(hashes, counts)
                 part = part_of(hashes, n_parts)
                 cuts = np.searchsorted(part, np.arange(n_parts + 1))
                 for p in range(n_parts):
@@ -182,12 +186,12 @@ def gather(training: DataFrame, n_parts: int) -> DataFrame:
                         c = counts[a:b]
                         kind = "<u1" if c.max() < 256 else "<u8"
                         yield order, p, hashes[a:b].astype("<u8").tobytes(), kind, c.astype(kind).tobytes()
-                held[order] = []
 
         for some in chunks(tuples, 0):
             tok, stream, before, _ = token_stream([t for (t,) in some])
-            held[1].append((np.append(word_hashes(tok.vocabulary), END), np.append(np.bincount(tok.ids, minlength=len(tok.vocabulary)), len(some))))
-            held[2].append(_summed(pair_hashes(before, stream), np.ones(len(stream), np.int64)))
+            held[1].append((np.append(word_hashes(tok.vocabulary), END), np.append(np.bincount(tok.ids, minlength=len(tok.vocabulary)), len(some)).astype(np.uint32)))
+            pairs, times = _summed(pair_hashes(before, stream), np.ones(len(stream), np.uint32))
+            held[2].append((pairs, times.astype(np.uint32)))
             size += sum(len(x[0]) for x in (held[1][-1], held[2][-1]))
             if size > 6_000_000:
                 yield from deal()
@@ -248,8 +252,9 @@ def score_chunk(texts: list[bytes], model: Model, lookup, levels) -> Iterator[tu
 
 
 def fetch(parts: DataFrame, n_parts: int, tokens: int, kinds: int) -> tuple[list[CountFilter], np.ndarray, np.ndarray]:
-    """The filters of both orders, the words' hashes (ascending) and their counts. Each part goes
-    to its place as it comes, so that the driver holds the model once and a few parts."""
+    """The filters of both orders, the words' hashes (ascending) and their counts. Some stored
+    files are fetched at a time and their parts put in place, so that the driver holds the
+    model once and some FETCH_BYTES besides."""
     shapes = parts.select("order", "part", "floor", F.length("bits").alias("bits"), F.length("hashes").alias("hashes")).collect()
     filters = [CountFilter([], n_parts, [(r.part, r.bits, r.floor) for r in shapes if r.order == order]) for order in (1, 2)]
     known, exact = np.zeros(kinds, "<u8"), np.zeros(kinds, "<u4" if tokens < 1 << 32 else "<u8")
@@ -258,11 +263,17 @@ def fetch(parts: DataFrame, n_parts: int, tokens: int, kinds: int) -> tuple[list
     for r in sorted((r for r in shapes if r.order == 1), key=lambda r: r.part):
         start[r.part] = at
         at += r.hashes // 8
-    for r in parts.select("order", "part", "bits", "hashes", "counts").toLocalIterator():
-        filters[r.order - 1].put(r.part, r.bits)
-        if r.order == 1:
-            own = slice(start[r.part], start[r.part] + len(r.hashes) // 8)
-            known[own], exact[own] = np.frombuffer(r.hashes, "<u8"), np.frombuffer(r.counts, "<i8")
+    files = sorted(parts.inputFiles())
+    at_once = max(1, len(files) * FETCH_BYTES // max(1, sum(r.bits + 2 * r.hashes for r in shapes)))
+    for i in range(0, len(files), at_once):
+        some = parts.sparkSession.read.schema(parts.schema).parquet(*files[i : i + at_once])
+        # As Arrow batches, which pass through without being decoded or pickled.
+        for batch in some.select("order", "part", "bits", "hashes", "counts").toArrow().to_batches():
+            for order, part, bits, hashes, counts in zip(*batch.columns):
+                filters[order.as_py() - 1].put(part.as_py(), bits.as_buffer())
+                if order.as_py() == 1:
+                    own = slice(start[part.as_py()], start[part.as_py()] + len(hashes.as_buffer()) // 8)
+                    known[own], exact[own] = np.frombuffer(hashes.as_buffer(), "<u8"), np.frombuffer(counts.as_buffer(), "<i8")
     return filters, known, exact
 
 
