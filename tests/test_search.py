@@ -200,3 +200,15 @@ def test_streamed_documents_are_found(spark, tmp_path):
     assert index.n_docs().first().n == 46
     assert ids(run_query(index, And(Term("lsm"), Term("compact")))) == [22]
     assert os.path.isdir(tmp_path / "check")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_stems_are_made_of_whole_arrays_before_tokens_are_rows(spark):
+    texts = [(1, "Книгами о книгах İİ ΟΔΟΣ.ΑΣ ΟΔΟΣ"), (2, None), (3, "it --")]
+    got = tokens(documents_from(spark, texts), AnalyzerConfig("russian"))
+    plan = plan_of(got)
+    assert plan.index("Generate posexplode") < plan.index("ArrowEvalPython")
+    assert sorted((r.doc_id, r.pos, r.term) for r in got.collect()) == [(1, 0, "книг"), (1, 2, "книг"), (1, 3, "i̇i̇"), (1, 4, "οδος"), (1, 5, "ας"), (1, 6, "οδος"), (3, 0, "it"), (3, 1, "--")]
