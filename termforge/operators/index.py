@@ -13,7 +13,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import AnalyzerConfig, analyze, tokens
+from ..functions.analysis import AnalyzerConfig, analyze, term_lists, tokens
 
 BLOCK_DOCS = 65_536
 #: Folders of a saved index.
@@ -27,16 +27,18 @@ def slot_of(term: Column) -> Column:
 @dataclass(frozen=True)
 class TextIndex:
     """occurrences: doc_id, term, positions (one or more rows for each term of a document), and
-    slot if they are saved by slots; universe: the distinct ids of all indexed documents, with or without tokens."""
+    slot if they are saved by slots; universe: the distinct ids of all indexed documents, with or without tokens;
+    lists: the same as occurrences with one row for each term of a document, if documents were at hand."""
 
     occurrences: DataFrame
     universe: DataFrame
     config: AnalyzerConfig
+    lists: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> TextIndex:
         occurrences = tokens(documents, config).select("doc_id", "term", F.array("pos").alias("positions"))
-        return cls(occurrences, documents.select("doc_id").distinct(), config)
+        return cls(occurrences, documents.select("doc_id").distinct(), config, term_lists(documents, config))
 
     @property
     def spark(self) -> SparkSession:
@@ -44,11 +46,15 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """term, doc_id, tf, positions: sorted distinct positions of each term and document."""
-        lists = self.occurrences.groupBy("term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
+        lists = self.lists
+        if lists is None:
+            lists = self.occurrences.groupBy("term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
         return lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
     def frequencies(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc_id, tf; of some exact terms only, if they are given."""
+        if terms is None and self.lists is not None:
+            return self.postings().drop("positions")
         of = self.occurrences
         if terms is not None:
             of = of.where(F.col("term").isin(terms))
@@ -58,7 +64,8 @@ class TextIndex:
 
     def term_stats(self) -> DataFrame:
         """term, df."""
-        return self.frequencies().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        pairs = self.occurrences.select("term", "doc_id").distinct() if self.lists is None else self.lists
+        return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def n_docs(self) -> DataFrame:
         """One row, n: all indexed documents, also those without a kept token."""
@@ -99,12 +106,10 @@ class TextIndex:
         return TextIndex(self.occurrences.select(columns).unionByName(other.occurrences.select(columns)), self.universe.unionByName(other.universe).distinct(), self.config)
 
     def save(self, path: str, mode: str = "errorifexists") -> None:
-        """postings/ and documents/. One shuffle, by term and document block: a frequent term
-        is spread over its blocks, and the lists are grouped where they arrive. They go to
-        SLOTS folders by term, each file sorted by term."""
-        blocks = self.occurrences.withColumn("block_id", F.expr(f"doc_id div {BLOCK_DOCS}")).withColumn("slot", slot_of(F.col("term"))).repartition("slot", "block_id")
-        lists = blocks.groupBy("slot", "block_id", "term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
-        rows = lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions", "block_id", "slot")
+        """postings/ and documents/. Postings go to SLOTS folders by term, each file sorted by term.
+        They stay where their documents' texts were dealt to: a file holds all terms of its slot that
+        its documents have, so that no postings are shuffled and a frequent term is in many files."""
+        rows = self.postings().select("term", "doc_id", "tf", "positions", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block_id"), slot_of(F.col("term")).alias("slot"))
         rows.sortWithinPartitions("slot", "term", "doc_id").write.mode(mode).partitionBy("slot").parquet(f"{path}/postings")
         self.universe.write.mode(mode).parquet(f"{path}/documents")
 

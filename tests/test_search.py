@@ -212,3 +212,22 @@ def test_stems_are_made_of_whole_arrays_before_tokens_are_rows(spark):
     plan = plan_of(got)
     assert plan.index("Generate posexplode") < plan.index("ArrowEvalPython")
     assert sorted((r.doc_id, r.pos, r.term) for r in got.collect()) == [(1, 0, "книг"), (1, 2, "книг"), (1, 3, "i̇i̇"), (1, 4, "οδος"), (1, 5, "ας"), (1, 6, "οδος"), (3, 0, "it"), (3, 1, "--")]
+
+
+@pytest.mark.parametrize("lang", ["none", "english"])
+def test_postings_are_made_without_a_shuffle_of_tokens(spark, lang):
+    rows = [(1, "bb aa bb"), (None, "aa"), (2, None), (1, "cc bb"), (2, "the"), (3, "bb"), (None, "dd aa"), (4, "x")]
+    made = TextIndex.build(documents_from(spark, rows), AnalyzerConfig(lang)).postings()
+    plan = plan_of(made)
+    assert plan.count("Exchange hashpartitioning(doc_id") == 1 == plan.count("Exchange") and "Aggregate" not in plan
+    got = sorted((r.term, r.doc_id or 0, r.tf, r.positions) for r in made.collect())
+    assert got == [("aa", 0, 2, [0, 1]), ("aa", 1, 1, [1]), ("bb", 1, 3, [0, 1, 2]), ("bb", 3, 1, [0]), ("cc", 1, 1, [0]), ("dd", 0, 1, [0])]
+
+
+def test_documents_of_several_batches_are_whole(spark):
+    rows = [(i // 7, f"aa w{i}") for i in range(700)]
+    session = spark.newSession()
+    session.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    made = TextIndex.build(documents_from(session, rows), PLAIN).postings()
+    got = {(r.term, r.doc_id): r.positions for r in made.collect()}
+    assert got == {("aa", i): [0] for i in range(100)} | {(f"w{i}", i // 7): [1] for i in range(700)}
