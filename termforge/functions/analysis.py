@@ -22,7 +22,7 @@ from .stopwords import stop_words
 TOKEN = r"[\p{L}\p{Nd}\-]+"
 LEAST_BYTES = 2
 #: Rows of a batch that Python hands to Spark.
-BATCH_ROWS = 65_536
+BATCH_ROWS = 16_384
 
 
 @dataclass(frozen=True)
@@ -113,8 +113,9 @@ def tokens(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> D
     return raw.where((F.octet_length("term") >= LEAST_BYTES) & ~F.col("term").isin(stop_words(config.lang)))
 
 
-def _grouped(ids: pa.Array, lists: pa.Array, terms: Callable[[pa.Array], pa.Array]) -> Iterator[pa.RecordBatch]:
-    """doc_id, term, positions of whole documents, some of which may have several rows."""
+def _grouped(ids: pa.Array, lists: pa.Array, terms: Callable[[pa.Array], pa.Array], by_term: bool) -> Iterator[pa.RecordBatch]:
+    """doc_id, term, positions of whole documents, some of which may have several rows; by term:
+    term, docs, positions, the arrays having an element for each document of the term."""
     lengths = np.asarray(pc.fill_null(pc.list_value_length(lists), 0), np.int64)
     docs = ids.dictionary_encode(null_encoding="encode")
     kept = _kept(lists.flatten(), terms)
@@ -125,8 +126,9 @@ def _grouped(ids: pa.Array, lists: pa.Array, terms: Callable[[pa.Array], pa.Arra
     if not held.any():
         return
     n, width = len(kept.dictionary), int(pos.max()) + 1
-    key, pos = doc[held] * n + term[held], pos[held]
-    if len(docs.dictionary) * n * width < 2**63:
+    m = len(docs.dictionary)
+    key, pos = term[held] * m + doc[held], pos[held]
+    if n * m * width < 2**63:
         key, pos = np.divmod(np.sort(key * width + pos), width)
     else:
         order = np.lexsort((pos, key))
@@ -135,9 +137,14 @@ def _grouped(ids: pa.Array, lists: pa.Array, terms: Callable[[pa.Array], pa.Arra
     key, pos = key[new], pos[new].astype(np.int32)
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     offsets = pa.array(np.append(first, len(key)), pa.int32())
-    doc, term = np.divmod(key[first], n)
-    columns = [docs.dictionary.take(pa.array(doc)), kept.dictionary.take(pa.array(term)), pa.ListArray.from_arrays(offsets, pa.array(pos))]
-    made = pa.RecordBatch.from_arrays(columns, ["doc_id", "term", "positions"])
+    term, doc = np.divmod(key[first], m)
+    of, positions = docs.dictionary.take(pa.array(doc)), pa.ListArray.from_arrays(offsets, pa.array(pos))
+    if by_term:
+        first = np.flatnonzero(np.concatenate([[True], term[1:] != term[:-1]]))
+        offsets = pa.array(np.append(first, len(term)), pa.int32())
+        made = pa.RecordBatch.from_arrays([kept.dictionary.take(pa.array(term[first])), pa.ListArray.from_arrays(offsets, of), pa.ListArray.from_arrays(offsets, positions)], ["term", "docs", "positions"])
+    else:
+        made = pa.RecordBatch.from_arrays([of, kept.dictionary.take(pa.array(term)), positions], ["doc_id", "term", "positions"])
     for at in range(0, made.num_rows, BATCH_ROWS):
         yield made.slice(at, BATCH_ROWS)
 
@@ -146,9 +153,8 @@ def _joined(batches: list[pa.RecordBatch]) -> list[pa.Array]:
     return [pa.concat_arrays([b.column(i) for b in batches]) for i in range(2)]
 
 
-def term_lists(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
-    """doc_id, term, positions: one row for each term of a document, positions sorted and distinct.
-    Texts are shuffled by doc_id, where rows of one document meet; their terms are not."""
+def _texts_grouped(documents: DataFrame, config: AnalyzerConfig, by_term: bool) -> DataFrame:
+    """Texts are shuffled by doc_id, where rows of one document meet; their terms are not."""
     terms = _terms_of(config)
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,20 +165,35 @@ def term_lists(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig())
             ids = batch.column(0).dictionary_encode(null_encoding="encode").indices
             last = pc.index(ids, ids[-1]).as_py()  # ids are sorted
             if not last and late and late[0].column(0)[0].as_py() != batch.column(0)[0].as_py():
-                yield from _grouped(*_joined(late), terms)
+                yield from _grouped(*_joined(late), terms, by_term)
                 late = []
             if last:
-                yield from _grouped(*_joined([*late, batch.slice(0, last)]), terms)
+                yield from _grouped(*_joined([*late, batch.slice(0, last)]), terms, by_term)
                 late = []
             late.append(batch.slice(last))
         if late:
-            yield from _grouped(*_joined(late), terms)
+            yield from _grouped(*_joined(late), terms, by_term)
 
     docs = documents.select("doc_id", "text").repartition("doc_id").sortWithinPartitions("doc_id").select("doc_id", words(F.col("text")).alias("words"))
-    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), StructField("term", StringType()), StructField("positions", ArrayType(IntegerType(), False))])
+    doc, positions = docs.schema["doc_id"].dataType, ArrayType(IntegerType(), False)
+    if by_term:
+        schema = StructType([StructField("term", StringType()), StructField("docs", ArrayType(doc)), StructField("positions", ArrayType(positions, False))])
+    else:
+        schema = StructType([StructField("doc_id", doc), StructField("term", StringType()), StructField("positions", positions)])
     return docs.mapInArrow(lists, schema)
 
 
+def term_lists(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
+    """doc_id, term, positions: one row for each term of a document, positions sorted and distinct."""
+    return _texts_grouped(documents, config, False)
+
+
+def term_blocks(documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> DataFrame:
+    """term, docs, positions: the same with a row for each term of a batch of documents, none of
+    which is in two batches."""
+    return _texts_grouped(documents, config, True)
+
+
 def snippet(text: Column, most: int = 72) -> Column:
     """The first 72 bytes of a text, less those of a character that the cut would split,
     with an ellipsis if there are more. Null text has no snippet."""

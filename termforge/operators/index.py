@@ -2,7 +2,8 @@
 
 An index over documents is lazy: a query's plan filters tokens to its own terms before
 anything is shuffled. A saved index is postings in folders by a hash of the term, of which
-an exact lookup opens one, sorted by term, so that Parquet's statistics prune within a file."""
+an exact lookup opens one, sorted by term, so that Parquet's statistics prune within a file.
+A row of it holds a term's postings of a batch of documents."""
 
 from __future__ import annotations
 
@@ -10,12 +11,12 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.analysis import AnalyzerConfig, analyze, term_lists, tokens
+from ..functions.analysis import AnalyzerConfig, analyze, term_blocks, term_lists, tokens
 
-BLOCK_DOCS = 65_536
 #: Folders of a saved index.
 SLOTS = 16
 
@@ -28,17 +29,19 @@ def slot_of(term: Column) -> Column:
 class TextIndex:
     """occurrences: doc_id, term, positions (one or more rows for each term of a document), and
     slot if they are saved by slots; universe: the distinct ids of all indexed documents, with or without tokens;
-    lists: the same as occurrences with one row for each term of a document, if documents were at hand."""
+    documents: what is indexed, if it is at hand; pairs: term and doc_id of the occurrences alone, if
+    they can be read apart."""
 
     occurrences: DataFrame
     universe: DataFrame
     config: AnalyzerConfig
-    lists: DataFrame | None = None
+    documents: DataFrame | None = None
+    pairs: DataFrame | None = None
 
     @classmethod
     def build(cls, documents: DataFrame, config: AnalyzerConfig = AnalyzerConfig()) -> TextIndex:
         occurrences = tokens(documents, config).select("doc_id", "term", F.array("pos").alias("positions"))
-        return cls(occurrences, documents.select("doc_id").distinct(), config, term_lists(documents, config))
+        return cls(occurrences, documents.select("doc_id").distinct(), config, documents)
 
     @property
     def spark(self) -> SparkSession:
@@ -46,14 +49,15 @@ class TextIndex:
 
     def postings(self) -> DataFrame:
         """term, doc_id, tf, positions: sorted distinct positions of each term and document."""
-        lists = self.lists
-        if lists is None:
+        if self.documents is not None:
+            lists = term_lists(self.documents, self.config)
+        else:
             lists = self.occurrences.groupBy("term", "doc_id").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("positions")))).alias("positions"))
         return lists.select("term", "doc_id", F.size("positions").cast("long").alias("tf"), "positions")
 
     def frequencies(self, terms: list[str] | None = None) -> DataFrame:
         """term, doc_id, tf; of some exact terms only, if they are given."""
-        if terms is None and self.lists is not None:
+        if terms is None and self.documents is not None:
             return self.postings().drop("positions")
         of = self.occurrences
         if terms is not None:
@@ -64,8 +68,10 @@ class TextIndex:
 
     def term_stats(self) -> DataFrame:
         """term, df."""
-        pairs = self.occurrences.select("term", "doc_id").distinct() if self.lists is None else self.lists
-        return pairs.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        if self.documents is not None:
+            return term_blocks(self.documents, self.config).groupBy("term").agg(F.sum(F.size("docs")).cast("long").alias("df"))
+        pairs = self.occurrences.select("term", "doc_id") if self.pairs is None else self.pairs
+        return pairs.distinct().groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
     def n_docs(self) -> DataFrame:
         """One row, n: all indexed documents, also those without a kept token."""
@@ -109,13 +115,32 @@ class TextIndex:
         """postings/ and documents/. Postings go to SLOTS folders by term, each file sorted by term.
         They stay where their documents' texts were dealt to: a file holds all terms of its slot that
         its documents have, so that no postings are shuffled and a frequent term is in many files."""
-        rows = self.postings().select("term", "doc_id", "tf", "positions", F.expr(f"doc_id div {BLOCK_DOCS}").alias("block_id"), slot_of(F.col("term")).alias("slot"))
-        rows.sortWithinPartitions("slot", "term", "doc_id").write.mode(mode).partitionBy("slot").parquet(f"{path}/postings")
+        if mode == "append":
+            self._fits(path)
+        if self.documents is not None:
+            rows = term_blocks(self.documents, self.config)
+        else:
+            rows = self.postings().select("term", F.array("doc_id").alias("docs"), F.array("positions").alias("positions"))
+        rows.withColumn("slot", slot_of(F.col("term"))).sortWithinPartitions("slot", "term").write.mode(mode).partitionBy("slot").parquet(f"{path}/postings")
         self.universe.write.mode(mode).parquet(f"{path}/documents")
 
+    def _fits(self, path: str) -> None:
+        """Postings of other columns, of an earlier version or a stream, don't go with ours."""
+        try:
+            columns = self.spark.read.parquet(f"{path}/postings").columns
+        except AnalysisException:  # there are none yet
+            return
+        if "docs" not in columns:
+            raise ValueError(f"{path} has postings of another layout: save to a folder of its own and merge")
+
     @classmethod
     def load(cls, spark: SparkSession, path: str, config: AnalyzerConfig = AnalyzerConfig()) -> TextIndex:
         """The index that was saved, with all batches that were appended to it."""
         rows = spark.read.parquet(f"{path}/postings")
-        rows = rows.select("doc_id", "term", "positions", *(c for c in ("slot",) if c in rows.columns))
-        return cls(rows, spark.read.parquet(f"{path}/documents").distinct(), config)
+        slot, pairs = [c for c in ("slot",) if c in rows.columns], None
+        if "docs" in rows.columns:
+            pairs = rows.select("term", F.explode("docs").alias("doc_id"))
+            rows = rows.select("term", *slot, F.explode(F.arrays_zip("docs", "positions")).alias("in")).select(F.col("in.docs").alias("doc_id"), "term", F.col("in.positions").alias("positions"), *slot)
+        else:
+            rows = rows.select("doc_id", "term", "positions", *slot)
+        return cls(rows, spark.read.parquet(f"{path}/documents").distinct(), config, pairs=pairs)

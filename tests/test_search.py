@@ -231,3 +231,25 @@ def test_documents_of_several_batches_are_whole(spark):
     made = TextIndex.build(documents_from(session, rows), PLAIN).postings()
     got = {(r.term, r.doc_id): r.positions for r in made.collect()}
     assert got == {("aa", i): [0] for i in range(100)} | {(f"w{i}", i // 7): [1] for i in range(700)}
+
+
+def test_a_saved_index_shuffles_no_postings(spark, tmp_path):
+    from pyspark.sql.types import ArrayType
+
+    rows = [(i // 2, f"aa w{i % 5} aa") for i in range(40)] + [(None, "aa"), (None, "bb")]
+    for text in (rows, [(i, "cc" + t) for i, t in rows]):
+        TextIndex.build(documents_from(spark, text), PLAIN).save(str(tmp_path / "index"), "append")
+    saved = spark.read.parquet(str(tmp_path / "index" / "postings"))
+    assert isinstance(saved.schema["docs"].dataType, ArrayType) and saved.where("term = 'aa'").count() < 42
+    back = TextIndex.load(spark, str(tmp_path / "index"), PLAIN)
+    df = {r.term: r.df for r in back.term_stats().collect()}
+    assert df["aa"] == 21 and df["ccaa"] == 21 and df["bb"] == 1 and df["w0"] == 8
+    got = {r.doc_id: r.positions for r in back.lookup_postings("aa").collect()}
+    assert got[None] == [0] and got[0] == [0, 2] and len(got) == 21
+    merged = back.merge(TextIndex.build(documents_from(spark, [(7, "zz aa")]), PLAIN))
+    merged.save(str(tmp_path / "merged"))
+    again = TextIndex.load(spark, str(tmp_path / "merged"), PLAIN)
+    assert {r.doc_id: r.positions for r in again.lookup_postings("aa").collect()}[7] == [0, 1, 2]
+    merged.postings().write.partitionBy("tf").parquet(str(tmp_path / "other" / "postings"))
+    with pytest.raises(ValueError):
+        merged.save(str(tmp_path / "other"), "append")
