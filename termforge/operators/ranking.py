@@ -70,11 +70,16 @@ def rank_vsm(index: TextIndex, docs: DataFrame, queries: list[str], k: int = 0)
 
 
 def champions(index: TextIndex, most: int = TIERS[-1], terms: list[str] | None = None) -> DataFrame:
-    """term, doc_id, score, rnk <= most: each term's best documents. The limit on the rank
-    is pushed below the shuffle, so a frequent term sends `most` rows a task at most."""
+    """term, doc_id, score, rnk <= most: each term's best documents. Of all terms, frequencies are
+    shuffled once, by term, where documents are counted and ranked. Of given ones, a frequent term sends
+    `most` rows a task at most, as the limit on the rank is pushed below the shuffle."""
     tf = index.frequencies(terms)
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = tf.join(df, "term").crossJoin(F.broadcast(index.n_docs())).select("term", "doc_id", F.round((1 + F.ln("tf")) * F.ln(F.col("n") / F.col("df")), DIGITS).alias("score"))
+    if terms is None:
+        tf = tf.withColumn("df", F.count(F.lit(1)).over(W.partitionBy("term")))
+    else:
+        df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        tf = tf.join(F.broadcast(df), "term")
+    scored = tf.crossJoin(F.broadcast(index.n_docs())).select("term", "doc_id", F.round((1 + F.ln("tf")) * F.ln(F.col("n") / F.col("df")), DIGITS).alias("score"))
     rank = F.row_number().over(W.partitionBy("term").orderBy(F.desc("score"), "doc_id"))
     return scored.withColumn("rnk", rank).where(F.col("rnk") <= most)
 

@@ -253,3 +253,11 @@ def test_a_saved_index_shuffles_no_postings(spark, tmp_path):
     merged.postings().write.partitionBy("tf").parquet(str(tmp_path / "other" / "postings"))
     with pytest.raises(ValueError):
         merged.save(str(tmp_path / "other"), "append")
+
+
+def test_champions_of_all_terms_read_the_documents_once(spark):
+    rows = [(1, "aa aa bb"), (2, "aa"), (3, "bb cc"), (4, None), (5, "aa")]
+    best = champions(TextIndex.build(documents_from(spark, rows), PLAIN), 2)
+    plan = plan_of(best)
+    assert plan.count("MapInArrow") == 1 and "SortMergeJoin" not in plan
+    assert sorted((r.term, r.rnk, r.doc_id, r.score) for r in best.collect()) == [("aa", 1, 1, 0.864903), ("aa", 2, 2, 0.510826), ("bb", 1, 1, 0.916291), ("bb", 2, 3, 0.916291), ("cc", 1, 3, 1.609438)]
