@@ -23,3 +23,13 @@ def test_russian(word, expected):
 
 def test_other_languages_stay():
     assert stem("logging", "none") == "logging"
+
+
+def test_endings_found_by_length_are_the_longest():
+    from termforge.functions import stemming as s
+
+    for suffixes in (s._STEP1B, s._STEP2, s._STEP3, s._STEP4):
+        assert max(map(len, suffixes)) <= 7
+        for a in suffixes:
+            for word in (a, "x" + a, "tion" + a, a + "x", ""):
+                assert s._ending(word, suffixes) == s._longest(word, suffixes)
